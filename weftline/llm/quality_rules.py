@@ -30,7 +30,7 @@ from weftline.llm.runtime import let, materialize, words
 RULES = {
     "symbol_rate": (100, None),  # symbols in 1000 words
     "upper_rate": (400, None),  # upper-case letters in 1000 words
-    "dup_line_rate": (300, None),  # repeated lines in 1000 lines that have a word
+    "dup_line_rate": (700, None),  # repeated lines in 1000 lines that have a word
     "repeat_rate": (300, None),  # words in repeated windows in 1000 words
     "word_length": (200, 200),  # characters in 100 words
 }
