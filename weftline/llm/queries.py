@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from weftline.llm import mixing, packing, permutation_index, pu_classifier, quality_rules, secret_scan, warc
+from weftline.llm import mixing, packing, permutation_index, pu_classifier, quality_rules, secret_scan, training_order, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"))
 
 
+def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.round_trip(_read(spark, sf_dir, "documents"))
+
+
 def op7_pu_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_classifier.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
