@@ -6,13 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from weftline.llm import mixing, packing, permutation_index, pu_classifier, quality_rules, secret_scan, training_order, warc
+from weftline.llm import line_dedup, mixing, packing, permutation_index, pu_classifier, quality_rules, secret_scan, training_order, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.line_dedup(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "text", "n_lines", F.array_join(F.col("removed_lines").cast("array<string>"), ",").alias("removed_lines"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_read(spark, sf_dir, "pages"))
 
@@ -50,4 +55,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": warc.SQL, "op3_quality_rules": quality_rules.SQL, "op5_mixing": mixing.SQL}
+    return {"op1_line_dedup": line_dedup.SQL, "op2_warc": warc.SQL, "op3_quality_rules": quality_rules.SQL, "op5_mixing": mixing.SQL}
