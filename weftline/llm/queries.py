@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from weftline.llm import line_dedup, mixing, packing, permutation_index, pu_classifier, quality_rules, secret_scan, training_order, warc
+from weftline.llm import bag_minhash, line_dedup, mixing, packing, permutation_index, pu_classifier, quality_rules, secret_scan, training_order, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
 
+def op9_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bag_minhash.near_duplicates(_read(spark, sf_dir, "documents")).select("doc_id", "class_id", "keep")
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.secret_scan(_read(spark, sf_dir, "documents")))
 
