@@ -221,9 +221,21 @@ def _open_pairs(members: DataFrame, nodes: DataFrame, labels: DataFrame) -> Data
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id and keep of every row; row numbers the rows of docs as read."""
+    """row, doc_id, class_id and keep of every row; row numbers the rows of docs as read."""
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    base = materialize(base, "near-docs")
+    return _classes(materialize(base, "near-docs"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each class, that of the smallest id, with all its columns."""
+    whole = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")), "near-docs")
+    base = whole.select("row", F.col(f"doc.{id_col}").cast("long").alias("id"), F.col(f"doc.{text_col}").alias("text"))
+    left = materialize(_classes(base).filter(~F.col("keep")).select(F.col("row").alias("l_row")), "near-left")
+    return whole.join(left, F.col("row") == F.col("l_row"), "left_anti").select("doc.*")
+
+
+def _classes(base: DataFrame) -> DataFrame:
+    """row, doc_id, class_id and keep. base: row, id and text, as a table."""
     sketches = base.mapInArrow(_sketch, "row long, id long, n long, key1 long, key2 long, bands array<long>, slots binary")
     sketches = materialize(sketches, "near-sketches")
     copies = sketches.filter("n > 0").groupBy("key1", "key2").agg(F.min("row").alias("node"), F.count("*").alias("size"))
