@@ -53,13 +53,11 @@ def water_fill(sources: DataFrame, weights: list[float], max_epochs: float) -> D
     return found.select("source", "source_size", F.least(F.col("cap"), F.coalesce(F.col("final") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def mix(
-    docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: float = 3, seed: int = 17, id_col: str = "doc_id",
-    source_col: str = "source", text_col: str = "text",
-) -> DataFrame:
-    """doc_id, size, source_size, target, taken (words) and repeats of every document."""
-    size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
-    sized = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), seeded_hash(F.col(id_col), seed).alias("h")), "mix-sizes")
+def allot(sized: DataFrame, weights: tuple[float, ...], max_epochs: float) -> DataFrame:
+    """p_source, source_size, target, whole repetitions, and the limit up to which a hash is taken once more.
+
+    sized: source, size and h of each document.
+    """
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     plan = materialize(
@@ -86,9 +84,37 @@ def mix(
     limits = last.filter((2 * F.col("after") - F.col("size")) < 2 * F.col("part")).groupBy("p_source").agg(F.max("h").alias("limit"))
     edge = at2.select("p_source", F.shiftleft("b2", REST).alias("edge"))
     full = plan.join(edge.withColumnRenamed("p_source", "e_source"), F.col("p_source").eqNullSafe(F.col("e_source")), "left").join(limits.withColumnRenamed("p_source", "l_source"), F.col("p_source").eqNullSafe(F.col("l_source")), "left")
-    full = full.select("p_source", "source_size", "target", "whole", F.coalesce("limit", F.col("edge") - 1, F.lit(-1).cast("long")).alias("limit"))
-    repeats = F.col("whole") + F.when(F.col("h") <= F.col("limit"), 1).otherwise(0)
-    return sized.join(full, same).select("doc_id", "size", "source_size", "target", (F.col("size") * repeats).alias("taken"), repeats.cast("long").alias("repeats"))
+    return full.select("p_source", "source_size", "target", "whole", F.coalesce("limit", F.col("edge") - 1, F.lit(-1).cast("long")).alias("limit"))
+
+
+def _repeats(h: Column) -> Column:
+    return (F.col("whole") + F.when(h <= F.col("limit"), 1).otherwise(0)).cast("long")
+
+
+def mix(
+    docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: float = 3, seed: int = 17, id_col: str = "doc_id",
+    source_col: str = "source", text_col: str = "text",
+) -> DataFrame:
+    """doc_id, size, source_size, target, taken (words) and repeats of every document."""
+    size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
+    sized = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), seeded_hash(F.col(id_col), seed).alias("h")), "mix-sizes")
+    full = allot(sized, weights, max_epochs)
+    out = sized.join(full, F.col("source").eqNullSafe(F.col("p_source"))).withColumn("repeats", _repeats(F.col("h")))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"), "repeats")
+
+
+def mixed(
+    docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: float = 3, seed: int = 17, id_col: str = "doc_id",
+    source_col: str = "source", text_col: str = "text",
+) -> DataFrame:
+    """The documents, each as often as the mix takes it, with all their columns."""
+    size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
+    sized = materialize(docs.select(F.col(source_col).alias("source"), size.alias("size"), seeded_hash(F.col(id_col), seed).alias("h")), "mix-sizes")
+    full = materialize(allot(sized, weights, max_epochs).select("p_source", "whole", "limit"), "mix-limits")
+    whole = docs.select(F.struct("*").alias("doc"))
+    joined = whole.join(full, F.col(f"doc.{source_col}").eqNullSafe(F.col("p_source")))
+    times = F.sequence(F.lit(1).cast("long"), _repeats(seeded_hash(F.col(f"doc.{id_col}"), seed)))
+    return joined.filter(_repeats(seeded_hash(F.col(f"doc.{id_col}"), seed)) > 0).select("doc", F.explode(times)).select("doc.*")
 
 
 SQL = r"""
