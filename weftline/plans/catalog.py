@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weftline.plans import text_queries  # noqa: F401
 from weftline.plans.registry import ORACLES, QUERIES, Query
 
 
