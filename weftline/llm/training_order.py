@@ -7,12 +7,14 @@ number of bits, walked along its cycle until it falls below n. So the order need
 no state and no shuffle of its own, and any slot can be computed, or inverted, alone.
 
 Sequences are then range-partitioned by slot. A shard holds shard_sequences slots at a fixed
-stride, 8 bytes of header (document's token count in the sequence, crc of its ids) and
-seq_tokens two-byte ids, padded with zeros: slot s is at s % shard_sequences * stride of shard
+stride, 24 bytes of header (document id, number of the sequence in it, tokens, crc of the ids, and
+whether the id is null) and seq_tokens two-byte ids, padded with zeros: slot s is at s % shard_sequences * stride of shard
 s // shard_sequences, so a reader resumes anywhere with one seek. A shard is written under a
 name of its own by each attempt, and the manifest names the one that counts.
 
-Numbers follow from counts per task, not from collected rows; each task writes whole shards.
+Numbers follow from counts per task, not from collected rows; each task writes whole shards. The
+slots are dealt in `waves` ranges, one shuffle after the other, so that the scratch disk holds
+the shuffle of one range only.
 
 Defined results: a null or empty text is one sequence of the end-of-text id; repeated rows are
 sequences of their own; a null id is carried as null; an empty table gives no shards; other
@@ -21,6 +23,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import uuid
 import zlib
@@ -36,6 +39,8 @@ from weftline.llm.runtime import drop_table, materialize, new_path
 from weftline.llm.tokens import END_OF_TEXT, default_path, encoder
 
 ROUNDS = 6
+#: Header of a sequence in a shard.
+HEAD = np.dtype([("doc_id", "<i8"), ("seq", "<u4"), ("length", "<u4"), ("crc", "<u4"), ("no_id", "<u4")])
 
 
 class SlotOrder:
@@ -98,50 +103,53 @@ def _sequences(batches: Iterator[pa.RecordBatch], path: str, seq_tokens: int) ->
             k += len(ids)
 
 
-def _slots(batches: Iterator[pa.RecordBatch], order: SlotOrder, shard_sequences: int) -> Iterator[pa.RecordBatch]:
+def _slots(batches: Iterator[pa.RecordBatch], order: SlotOrder, shard_sequences: int, first: int, until: int) -> Iterator[pa.RecordBatch]:
+    """The sequences whose slots are in a range, with slot and shard."""
     for batch in batches:
         slot = order.slot(batch.column(3).to_numpy())
-        shard = pa.array(slot // shard_sequences)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(slot), shard], names=["doc_id", "seq", "ids", "slot", "shard"])
+        kept = np.flatnonzero((slot >= first) & (slot < until))
+        doc_id, seq, ids = (batch.column(i).take(pa.array(kept)) for i in range(3))
+        yield pa.RecordBatch.from_arrays([doc_id, seq, ids, pa.array(slot[kept]), pa.array(slot[kept] // shard_sequences)], names=["doc_id", "seq", "ids", "slot", "shard"])
 
 
 def _shards(batches: Iterator[pa.RecordBatch], folder: str, seq_tokens: int, shard_sequences: int) -> Iterator[pa.RecordBatch]:
-    """Write the shards of a partition, whose rows come in the order of slots; a row per sequence."""
+    """Write the shards of a partition, whose rows come in the order of slots; a row per shard."""
     from pyarrow import fs
 
     store, root = fs.FileSystem.from_uri(folder)
-    names = ["slot", "shard", "path", "position", "doc_id", "seq", "length", "ids_crc32"]
-    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-    out, shard, path, stride = None, -1, "", 8 + 2 * seq_tokens
+    out, shard, path, n = None, -1, "", 0
+
+    def closed() -> pa.RecordBatch:
+        out.close()
+        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([path]), pa.array([n], pa.int64())], names=["shard", "path", "sequences"])
+
     for batch in batches:
-        rows = []
         for doc_id, seq, slot, ids in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3)), batch.column(2), strict=True):
             if slot // shard_sequences != shard:
                 if out is not None:
-                    out.close()
-                shard, path = slot // shard_sequences, f"{root}/{slot // shard_sequences:08d}-{uuid.uuid4().hex}.bin"
-                out = store.open_output_stream(path)
+                    yield closed()
+                shard, n = slot // shard_sequences, 0
+                path = f"{root}/{shard:08d}-{uuid.uuid4().hex}.bin"
+                out = store.open_output_stream(path, buffer_size=1 << 20)
             raw = ids.as_buffer().to_pybytes()
-            crc = zlib.crc32(raw)
-            out.write(np.array([len(raw) // 2, crc], dtype="<u4").tobytes() + raw + bytes(2 * seq_tokens - len(raw)))
-            rows.append((slot, shard, path, slot % shard_sequences * stride, doc_id, seq, len(raw) // 2, crc))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+            head = np.array([(doc_id or 0, seq, len(raw) // 2, zlib.crc32(raw), doc_id is None)], dtype=HEAD)
+            out.write(head.tobytes() + raw + bytes(2 * seq_tokens - len(raw)))
+            n += 1
     if out is not None:
-        out.close()
+        yield closed()
 
 
 def materialise_order(
-    docs: DataFrame, key: str = "training-order", seq_tokens: int = 256, shard_sequences: int = 1 << 14, tokenizer_path: str | None = None, id_col: str = "doc_id",
-    text_col: str = "text",
+    docs: DataFrame, key: str = "training-order", seq_tokens: int = 256, shard_sequences: int = 1 << 14, waves: int = 4, tokenizer_path: str | None = None,
+    id_col: str = "doc_id", text_col: str = "text",
 ) -> tuple[DataFrame, str]:
-    """Write the shards. Returns a row per sequence (slot, shard, path, position, doc_id, seq, length, ids_crc32) and the folder."""
+    """Write the shards. Returns the manifest (shard, path, sequences) and the folder."""
     path, spark = tokenizer_path or default_path(), docs.sparkSession
     made = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         lambda b: _sequences(b, path, seq_tokens), "doc_id long, seq long, ids binary, task long, k long"
     )
     made = materialize(made, "order-tokens")
-    per_task = made.groupBy("task").agg(F.count("*").alias("n"))
+    per_task = made.groupBy("task").agg(F.count("*").alias("n"))  # a row for each task
     before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     offsets = materialize(per_task.select(F.col("task").alias("o_task"), "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead")), "order-counts")
     n = offsets.agg(F.sum("n")).first()[0] or 0
@@ -150,20 +158,29 @@ def materialise_order(
     root.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(root)
     order = SlotOrder(max(n, 1), key)
     numbered = made.join(F.broadcast(offsets), F.col("task") == F.col("o_task")).select("doc_id", "seq", "ids", (F.col("ahead") + F.col("k")).alias("i"))
-    slotted = numbered.mapInArrow(lambda b: _slots(b, order, shard_sequences), "doc_id long, seq long, ids binary, slot long, shard long")
-    shards = max(1, -(-n // shard_sequences))
-    dealt = slotted.repartitionByRange(shards, "shard").sortWithinPartitions("slot")
-    schema = "slot long, shard long, path string, position long, doc_id long, seq long, length long, ids_crc32 long"
-    written = materialize(dealt.mapInArrow(lambda b: _shards(b, folder, seq_tokens, shard_sequences), schema), "order-manifest")
+    shards = -(-n // shard_sequences)
+    each, parts = max(1, -(-shards // waves)), []
+    for first in range(0, max(shards, 1), each):
+        span = (first * shard_sequences, (first + each) * shard_sequences)
+        slotted = numbered.mapInArrow(lambda b, span=span: _slots(b, order, shard_sequences, *span), "doc_id long, seq long, ids binary, slot long, shard long")
+        dealt = slotted.repartitionByRange(each, "shard").sortWithinPartitions("slot")
+        parts.append(materialize(dealt.mapInArrow(lambda b: _shards(b, folder, seq_tokens, shard_sequences), "shard long, path string, sequences long"), "order-manifest"))
+        del slotted, dealt
+        gc.collect()
+        spark._jvm.System.gc()  # lets Spark delete the shuffle of this wave
+    written = parts[0]
+    for part in parts[1:]:
+        written = written.unionByName(part)
     drop_table(made)
     return written, folder
 
 
-def _read(batches: Iterator[pa.RecordBatch], folder: str, seq_tokens: int) -> Iterator[pa.RecordBatch]:
+def _read(batches: Iterator[pa.RecordBatch], folder: str, seq_tokens: int, shard_sequences: int) -> Iterator[pa.RecordBatch]:
     from pyarrow import fs
 
     store, _ = fs.FileSystem.from_uri(folder)
-    stride = 8 + 2 * seq_tokens
+    stride = HEAD.itemsize + 2 * seq_tokens
+    names = ["slot", "shard", "position", "doc_id", "seq", "length", "ids_crc32", "intact"]
     for batch in batches:
         for shard, path, first, last in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             with store.open_input_file(path) as f:
@@ -171,27 +188,23 @@ def _read(batches: Iterator[pa.RecordBatch], folder: str, seq_tokens: int) -> It
                 for at in range(first, last, 4096):
                     n = min(4096, last - at)
                     raw = np.frombuffer(f.read(n * stride), dtype=np.uint8).reshape(n, stride)
-                    head = raw[:, :8].copy().view("<u4")
-                    crc = [zlib.crc32(raw[i, 8 : 8 + 2 * int(head[i, 0])].tobytes()) for i in range(n)]
-                    slots = np.arange(at, at + n)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(n, shard)), pa.array(slots), pa.array(head[:, 0].astype(np.int64)), pa.array(np.array(crc, dtype=np.int64)), pa.array(head[:, 1].astype(np.int64) == np.array(crc))],
-                        names=["r_shard", "r_place", "r_length", "r_crc32", "r_intact"],
-                    )
+                    head = raw[:, : HEAD.itemsize].copy().view(HEAD)[:, 0]
+                    crc = np.array([zlib.crc32(raw[i, HEAD.itemsize : HEAD.itemsize + 2 * int(head["length"][i])]) for i in range(n)], dtype=np.int64)
+                    place = np.arange(at, at + n)
+                    columns = [shard * shard_sequences + place, np.full(n, shard), place * stride, None, head["seq"].astype(np.int64), head["length"].astype(np.int64), crc]
+                    arrays = [pa.array(head["doc_id"], mask=head["no_id"] == 1) if c is None else pa.array(c) for c in columns]
+                    yield pa.RecordBatch.from_arrays([*arrays, pa.array(head["crc"] == crc)], names=names)
 
 
 def read_order(written: DataFrame, folder: str, seq_tokens: int = 256, shard_sequences: int = 1 << 14, start_slot: int = 0) -> DataFrame:
-    """r_slot, r_length, r_crc32 and r_intact of all slots from start_slot on, read sequentially from the shards."""
-    files = written.groupBy("shard", "path").agg(F.max(F.col("slot") % shard_sequences).alias("last")).filter((F.col("shard") + 1) * shard_sequences > start_slot)
-    first = F.greatest(F.lit(start_slot) - F.col("shard") * shard_sequences, F.lit(0))
-    jobs = files.select("shard", "path", first.cast("long").alias("first"), (F.col("last") + 1).alias("until")).repartition("path")
-    read = jobs.mapInArrow(lambda b: _read(b, folder, seq_tokens), "r_shard long, r_place long, r_length long, r_crc32 long, r_intact boolean")
-    return read.select((F.col("r_shard") * shard_sequences + F.col("r_place")).alias("r_slot"), "r_length", "r_crc32", "r_intact")
+    """A row for each slot from start_slot on, read sequentially from the shards: slot, shard, position (byte),
+    doc_id, seq, length, ids_crc32 (of the ids read) and intact (it is the crc that was written)."""
+    first = F.greatest(F.lit(start_slot) - F.col("shard") * shard_sequences, F.lit(0)).cast("long")
+    jobs = written.filter((F.col("shard") + 1) * shard_sequences > start_slot).select("shard", "path", first.alias("first"), F.col("sequences").alias("until"))
+    schema = "slot long, shard long, position long, doc_id long, seq long, length long, ids_crc32 long, intact boolean"
+    return jobs.repartition("path").mapInArrow(lambda b: _read(b, folder, seq_tokens, shard_sequences), schema)
 
 
 def round_trip(docs: DataFrame) -> DataFrame:
-    """slot, doc_id, seq, length, ids_crc32 of every sequence as written, and read_crc32 as read back from its shard."""
-    written, folder = materialise_order(docs)
-    back = read_order(written, folder)
-    joined = written.join(back, F.col("slot") == F.col("r_slot"), "left")
-    return joined.select("slot", "shard", "position", "doc_id", "seq", "length", "ids_crc32", F.col("r_crc32").alias("read_crc32"), F.coalesce("r_intact", F.lit(False)).alias("intact"))
+    """Write the shards of all documents and return what read_order() finds in them."""
+    return read_order(*materialise_order(docs))
