@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.runtime import WORD, let, materialize
+from weftline.llm.runtime import WORD, drop_table, let, materialize
 
 
 def _lines(base: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -44,7 +44,7 @@ def _lines(base: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _starts(docs: DataFrame) -> DataFrame:
     """row and the position of its first line, documents in the order of id and row, one position free after each."""
-    n = docs.sparkSession.sparkContext.defaultParallelism * 2
+    n = max(8, docs.sparkSession.sparkContext.defaultParallelism)
     by = [F.col("id").asc_nulls_last(), F.col("row").asc()]
     dealt = docs.select("row", "id", (F.size("lines") + 1).cast("long").alias("n")).repartitionByRange(n, *by).sortWithinPartitions(*by)
     dealt = materialize(dealt.select("row", "n", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("k")), "lines-order")
@@ -55,51 +55,64 @@ def _starts(docs: DataFrame) -> DataFrame:
     return dealt.withColumn("own", own).join(F.broadcast(offsets), F.col("part") == F.col("o_part")).select(F.col("row").alias("s_row"), (F.col("ahead") + F.col("own")).alias("start"))
 
 
+def _large(side: DataFrame) -> DataFrame:
+    """A side that grows with the corpus and is not to be broadcast at any size."""
+    return side.hint("merge")
+
+
 def _ranked(pairs: DataFrame) -> DataFrame:
     """pos and rank of the suffixes whose pair (a, b) occurs at least twice; ranks are in the order of pairs."""
     groups = pairs.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("a").alias("g_a"), F.col("b").alias("g_b")).orderBy("g_a", "g_b")
     groups = materialize(groups.withColumn("rank", F.monotonically_increasing_id()), "lines-ranks")
-    return pairs.join(groups, (F.col("a") == F.col("g_a")) & (F.col("b") == F.col("g_b"))).drop("a", "b", "g_a", "g_b")
+    return pairs.join(_large(groups), (F.col("a") == F.col("g_a")) & (F.col("b") == F.col("g_b"))).drop("a", "b", "g_a", "g_b")
+
+
+def place(lines: DataFrame) -> DataFrame:
+    """row, start (the position of the document's first line) and lines."""
+    return lines.join(_large(_starts(lines)), F.col("row") == F.col("s_row")).select("row", "start", "lines")
+
 
+def repeated_runs(placed: DataFrame, min_words: int) -> DataFrame:
+    """The runs that have an earlier copy, as stated above.
 
-def repeated_runs(lines: DataFrame, min_words: int) -> DataFrame:
-    """The runs that have an earlier copy, as stated above: row, pos, i (number of the first line among those with a word), n (lines), copies, first (pos)."""
-    placed = lines.join(_starts(lines), F.col("row") == F.col("s_row"))
-    flat = placed.select("row", "start", F.posexplode("lines").alias("i", "l")).select("row", "i", (F.col("start") + F.col("i")).alias("pos"), "l.a", "l.b", "l.words")
-    first = materialize(_ranked(flat), "lines-suffixes")  # row, i, pos, words, rank
+    start, i (number of the first line among those with a word), n (lines), copies, first (position of the first copy).
+    """
+    flat = placed.select("start", F.posexplode("lines").alias("i", "l")).select("start", "i", "l.a", "l.b", "l.words")
+    first = materialize(_ranked(flat), "lines-suffixes")  # start, i, words, rank
 
     # stretches of neighbouring repeated lines of a document, then the runs that start in them
-    near = Window.partitionBy("row").orderBy("pos")
-    stretch = first.select("*", (F.col("pos") - F.row_number().over(near)).alias("stretch"))
-    summed = Window.partitionBy("row", "stretch").orderBy("pos")
-    stretch = stretch.select("row", "stretch", "pos", "i", "words", F.sum("words").over(summed.rowsBetween(Window.unboundedPreceding, 0)).alias("cum"))
+    near = Window.partitionBy("start").orderBy("i")
+    stretch = first.select("*", (F.col("i") - F.row_number().over(near)).alias("stretch"))
+    summed = Window.partitionBy("start", "stretch").orderBy("i")
+    stretch = stretch.select("start", "stretch", "i", "words", F.sum("words").over(summed.rowsBetween(Window.unboundedPreceding, 0)).alias("cum"))
     ahead = summed.rowsBetween(0, 2 * min_words)
-    seen = stretch.select("row", "pos", "i", "words", "cum", F.collect_list("cum").over(ahead).alias("cums"))
+    seen = stretch.select("start", "i", "words", "cum", F.collect_list("cum").over(ahead).alias("cums"))
     total = lambda i: F.get("cums", i - 1) - F.col("cum") + F.col("words")  # words of the first i lines
     wanted = F.filter(
         F.sequence(F.lit(1), F.size("cums")),
         lambda i: (total(i) >= min_words) & ((i == 1) | (total(i - 1) < min_words) | (total(i) - F.col("words") < min_words)),
     )
-    runs = seen.select("row", "pos", "i", F.explode(wanted).alias("n"))
+    runs = seen.select("start", "i", F.explode(wanted).alias("n"))
     runs = materialize(runs.select("*", (F.length(F.bin(F.col("n").cast("long"))) - 1).cast("int").alias("k")), "lines-runs")
 
     levels = runs.agg(F.max("k")).first()[0] or 0  # at most log2(2 * min_words)
-    suffixes = first.select("pos", "rank")
+    suffixes = first.select((F.col("start") + F.col("i")).alias("pos"), "rank")
     ranks = suffixes.withColumn("k", F.lit(0))
     for k in range(levels):
         later = suffixes.select((F.col("pos") - (1 << k)).alias("l_pos"), F.col("rank").alias("b"))
-        pairs = suffixes.join(later, F.col("pos") == F.col("l_pos")).select("pos", F.col("rank").alias("a"), "b")
+        pairs = suffixes.join(_large(later), F.col("pos") == F.col("l_pos")).select("pos", F.col("rank").alias("a"), "b")
         suffixes = materialize(_ranked(pairs), "lines-suffixes")
         ranks = ranks.unionByName(suffixes.withColumn("k", F.lit(k + 1)))
     head = ranks.select(F.col("k").alias("h_k"), F.col("pos").alias("h_pos"), F.col("rank").alias("head"))
     tail = ranks.select(F.col("k").alias("t_k"), F.col("pos").alias("t_pos"), F.col("rank").alias("tail"))
-    last = F.col("pos") + F.col("n") - F.expr("shiftleft(1L, k)")
-    keyed = runs.join(head, (F.col("k") == F.col("h_k")) & (F.col("pos") == F.col("h_pos"))).join(tail, (F.col("k") == F.col("t_k")) & (last == F.col("t_pos")))
-    keyed = materialize(keyed.select("row", "pos", "i", "n", "head", "tail"), "lines-keys")
-    groups = keyed.groupBy("n", "head", "tail").agg(F.min("pos").alias("first"), F.count("*").alias("copies")).filter("copies > 1")
+    pos = F.col("start") + F.col("i")
+    last = pos + F.col("n") - F.expr("shiftleft(1L, k)")
+    keyed = runs.join(_large(head), (F.col("k") == F.col("h_k")) & (pos == F.col("h_pos"))).join(_large(tail), (F.col("k") == F.col("t_k")) & (last == F.col("t_pos")))
+    keyed = materialize(keyed.select("start", "i", "n", "head", "tail"), "lines-keys")
+    groups = keyed.groupBy("n", "head", "tail").agg(F.min(pos).alias("first"), F.count("*").alias("copies")).filter("copies > 1")
     groups = groups.withColumnsRenamed({"n": "g_n", "head": "g_head", "tail": "g_tail"})
     same = (F.col("n") == F.col("g_n")) & (F.col("head") == F.col("g_head")) & (F.col("tail") == F.col("g_tail"))
-    return keyed.join(groups, same).filter(F.col("pos") > F.col("first")).select("row", "pos", "i", "n", "copies", "first")
+    return keyed.join(_large(groups), same).filter(pos > F.col("first")).select("start", "i", "n", "copies", "first")
 
 
 def line_dedup(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -107,9 +120,11 @@ def line_dedup(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", tex
     kept = [c for c in docs.columns if c.lower() not in ("n_lines", "removed_lines")]
     base = materialize(docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("doc"), F.monotonically_increasing_id().alias("row")), "lines-docs")
     lines = materialize(_lines(base, id_col, text_col), "lines")
-    runs = repeated_runs(lines, min_words).groupBy("row", "i").agg(F.max("n").alias("n"))
-    places = runs.select("row", F.explode(F.sequence("i", F.col("i") + F.col("n") - 1)).alias("i")).groupBy("row").agg(F.collect_set("i").alias("places"))
-    numbers = places.join(lines, "row").select(
+    placed = materialize(place(lines), "lines-placed")
+    drop_table(lines)
+    runs = repeated_runs(placed, min_words).groupBy("start", "i").agg(F.max("n").alias("n"))
+    places = runs.select("start", F.explode(F.sequence("i", F.col("i") + F.col("n") - 1)).alias("i")).groupBy("start").agg(F.collect_set("i").alias("places"))
+    numbers = places.join(placed, "start").select(
         F.col("row").alias("r_row"), F.sort_array(let(F.col("lines"), lambda x: F.transform("places", lambda i: F.get(x, i)["line"]))).alias("removed")
     )
     removed = materialize(numbers, "lines-removed")
