@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.plans import retrieval_queries, session_queries, text_queries  # noqa: F401
+from weftline.plans import code_queries, retrieval_queries, session_queries, text_queries  # noqa: F401
 from weftline.plans.registry import ORACLES, QUERIES, Query
 
 
