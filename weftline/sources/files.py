@@ -8,12 +8,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from weftline.config import InputError
 from weftline.functions import text as tx
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _pdf_text(contents: pd.Series) -> pd.Series:
     import io
 
