@@ -10,13 +10,16 @@ processes of all shingles advance together and stop once their next point is lat
 slot of the document, so most shingles of a long document yield one point.
 
 Texts with equal sequences of words are one node, so copies cost nothing. The signature is cut
-into bands; equal bands make a bucket. In each bucket every node is compared with the first one,
-and the multisets are compared exactly: two nodes are linked at a weighted Jaccard similarity of
-0.8 or more. Classes are the connected components. Where a bucket then still holds several
-classes, the nodes of different classes meet, in tiles of bounded size, and the pairs whose
-signatures may reach 0.8 are compared exactly too. So no pairs are emitted within a class, and
-no link that a bucket could show is lost. With 32 bands of 5 slots a pair at 0.8 shares no
-bucket with probability 3e-6.
+into bands; equal bands make a bucket. In each bucket every node is compared with one head, and
+the multisets are compared exactly: two nodes are linked at a weighted Jaccard similarity of 0.8
+or more. Classes are the connected components. Buckets that still hold several classes get
+another head, drawn by a hash, which meets the nodes of other classes only; a crowd of near
+copies falls into one class in a few such rounds. Where a bucket then still holds several classes,
+the nodes of different classes meet, in tiles of bounded size and with finer signatures of 1024 slots
+of 4 bits: first each node is compared with the BEST nodes of other classes by their signatures, then, among the classes that are left,
+all pairs whose signatures may reach 0.8 are compared exactly. So no pairs are emitted within a class, and no link that a
+bucket could show is lost. With 32 bands of 5 slots a pair at 0.8 shares no bucket with
+probability 3e-6.
 
 Hot buckets: the first node and the size come from an aggregation, links are joined to buckets
 by a join that Spark may split, and the comparisons with one node are dealt to as many tasks as
@@ -42,8 +45,14 @@ from weftline.llm.shingles import mix, multisets, parts, sequence_keys
 
 BANDS, ROWS = 32, 5
 SLOTS = BANDS * ROWS
-#: Least share of equal slots of a pair that is compared exactly: four standard deviations below 0.8.
-LEAST_SLOTS = int(SLOTS * (0.8 - 4 * (0.8 * 0.2 / SLOTS) ** 0.5))
+#: Rounds of heads before the nodes of different classes meet.
+ROUNDS = 3
+#: Nodes of other classes that a node is compared with before all that may be near are.
+BEST = 8
+#: Slots of the finer signature, of 4 bits, so one in 16 is equal by chance; and the least number of equal ones of a
+#: pair that is compared exactly: 3.5 standard deviations below that of a similarity of 0.8.
+FINE = 1024
+LEAST_FINE = int(FINE * (0.8125 - 3.5 * (0.8125 * 0.1875 / FINE) ** 0.5))
 #: Nodes in one tile, and comparisons with one node in one task.
 TILE, SHARE = 1024, 256
 
@@ -84,7 +93,7 @@ def signatures(n_texts: int, owner: np.ndarray, shingle: np.ndarray, weight: np.
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """row, id, n (shingles), key1, key2, bands and slots of each text."""
+    """row, id, n (shingles), key1, key2 and bands of each text."""
     for batch in batches:
         texts = batch.column(2).fill_null("")
         for i, j, hashes, counts in parts(texts):
@@ -96,14 +105,23 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             band = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(_SLOT), (len(counts), BANDS))
             for r in range(ROWS):
                 band = mix(band ^ groups[:, :, r]) + np.uint64(_POINT)
-            short = (mix(best) & np.uint64(0xFFFF)).astype(np.uint16)
             lists = pa.ListArray.from_arrays(np.arange(0, (len(counts) + 1) * BANDS, BANDS, dtype=np.int32), pa.array(band.view(np.int64).ravel()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0)[i:j], batch.column(1)[i:j], pa.array(total), pa.array(key1), pa.array(key2), lists, pa.array([x.tobytes() for x in short], pa.binary())],
-                names=["row", "id", "n", "key1", "key2", "bands", "slots"],
+                [batch.column(0)[i:j], batch.column(1)[i:j], pa.array(total), pa.array(key1), pa.array(key2), lists],
+                names=["row", "id", "n", "key1", "key2", "bands"],
             )
 
 
+def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """row and fine: the finer signature of each text, two slots in a byte."""
+    for batch in batches:
+        for i, j, hashes, counts in parts(batch.column(1).fill_null("")):
+            best = signatures(len(counts), *multisets(hashes, counts), FINE).view(np.uint64)
+            slots = (mix(best) & np.uint64(15)).astype(np.uint8)
+            packed = slots[:, 0::2] | (slots[:, 1::2] << 4)
+            yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array([x.tobytes() for x in packed], pa.binary())], names=["row", "fine"])
+
+
 def _same(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> bool:
     """Whether two multisets have a weighted Jaccard similarity of 0.8 or more."""
     sum_a, sum_b = int(a[1].sum()), int(b[1].sum())
@@ -134,15 +152,22 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
+def _large(side: DataFrame) -> DataFrame:
+    """A side that grows with the corpus and is not to be broadcast at any size."""
+    return side.hint("merge")
+
+
 def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of rows whose texts are near-duplicates, exactly. texts: row and text."""
     sized = pairs.groupBy("a").agg(F.count("*").alias("n")).select(F.col("a").alias("n_a"), F.ceil(F.col("n") / SHARE).cast("int").alias("tasks"))
     salted = pairs.join(sized, F.col("a") == F.col("n_a")).select("a", F.pmod(F.xxhash64("b"), F.col("tasks")).cast("int").alias("salt"), "b")
     salted = materialize(salted, "near-pairs")
-    members = salted.join(texts, F.col("b") == F.col("row")).select("a", "salt", "b", "text")
-    heads = salted.select("a", "salt").distinct().join(texts, F.col("a") == F.col("row")).select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
+    members = salted.join(_large(texts), F.col("b") == F.col("row")).select("a", "salt", "b", "text")
+    heads = salted.select("a", "salt").distinct().join(_large(texts), F.col("a") == F.col("row")).select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
     dealt = members.unionByName(heads).repartition(F.col("a"), F.col("salt")).sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return materialize(dealt.mapInArrow(_compare, "a long, b long"), "near-links")
+    links = materialize(dealt.mapInArrow(_compare, "a long, b long"), "near-links")
+    drop_table(salted)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -166,10 +191,11 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of nodes of different classes whose signatures may reach the threshold.
+def _meet(batches: Iterator[pa.RecordBatch], best: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of nodes of different classes whose signatures may reach the threshold; best: at most so many for each node, if not 0.
 
-    Rows (bucket, i, j, side, row, class, n, slots) come sorted by tile (bucket, i, j).
+    Rows (bucket, i, j, side, row, class, n, fine, buckets) come sorted by tile (bucket, i, j). A pair that shares several
+    buckets is given in the first of them.
     """
     held: list[tuple] = []
     key = None
@@ -177,13 +203,19 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def pairs() -> list[tuple[int, int]]:
         row, group, n = (np.array([h[k] for h in held], dtype=np.int64) for k in (1, 2, 3))
         side = np.array([h[0] for h in held])
-        slots = np.frombuffer(b"".join(h[4] for h in held), dtype=np.uint16).reshape(len(held), SLOTS)
+        packed = np.frombuffer(b"".join(h[4] for h in held), dtype=np.uint8).reshape(len(held), FINE // 2)
+        slots = np.concatenate([packed & 15, packed >> 4], axis=1)
+        shared = [set(h[5]) for h in held]
         out = []
         for x in np.flatnonzero(side <= 1):
             # within a tile on the diagonal every row is on both sides
             others = np.flatnonzero((side != 1) & (group != group[x]) & (10 * np.minimum(n, n[x]) >= 8 * np.maximum(n, n[x])) & ((side == 2) | (row > row[x])))
             if len(others):
-                near = others[(slots[others] == slots[x]).sum(axis=1) >= LEAST_SLOTS]
+                equal = np.count_nonzero(slots[others] == slots[x], axis=1)
+                near = others[equal >= LEAST_FINE]
+                near = np.array([y for y in near if min(shared[x] & shared[y]) == key[0]], dtype=np.int64)
+                if best and len(near) > best:
+                    near = near[np.lexsort((row[near], -equal[np.searchsorted(others, near)]))[:best]]
                 out += [(min(int(row[x]), int(row[y])), max(int(row[x]), int(row[y]))) for y in near]
         return out
 
@@ -201,23 +233,57 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of(pairs())
 
 
-def _open_pairs(members: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs worth comparing among nodes that share a bucket but no class."""
+def _classed(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """bucket, row, n and class of the members of buckets."""
+    if labels is None:
+        return members.withColumn("class", F.col("row"))
     named = labels.select(F.col("node").alias("l_node"), "label")
-    classed = members.join(named, F.col("row") == F.col("l_node"), "left").select("bucket", "row", F.coalesce("label", "row").alias("class"))
-    classed = materialize(classed, "near-buckets")
-    open_ = classed.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("size")).filter("lo <> hi")
+    return members.join(_large(named), F.col("row") == F.col("l_node"), "left").select("bucket", "row", "n", F.coalesce("label", "row").alias("class"))
+
+
+def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Labels after more links: the classes that links join become one."""
+    if labels is None:
+        return components(links)
+    end = lambda c: labels.select(F.col("node").alias(f"n_{c}"), F.col("label").alias(f"l_{c}"))
+    joined = links.join(end("a"), F.col("a") == F.col("n_a"), "left").join(end("b"), F.col("b") == F.col("n_b"), "left")
+    classes = components(joined.select(F.coalesce("l_a", "a").alias("a"), F.coalesce("l_b", "b").alias("b")))
+    of = classes.select(F.col("node").alias("c_node"), F.col("label").alias("c_label"))
+    old = labels.join(of, F.col("label") == F.col("c_node"), "left").select("node", F.coalesce("c_label", "label").alias("label"))
+    new = classes.join(labels.select("node"), "node", "left_anti")
+    return materialize(old.unionByName(new), "labels")
+
+
+def _head_pairs(members: DataFrame, labels: DataFrame | None, k: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of the k-th head of each bucket and the nodes of other classes there, and the members of these buckets."""
+    classed = materialize(_classed(members, labels), "near-buckets")
+    draw = F.xxhash64("row", F.lit(k))
+    heads = classed.groupBy("bucket").agg(
+        F.min_by("row", draw).alias("a"), F.min_by("class", draw).alias("a_class"), F.min_by("n", draw).alias("a_n"), F.min("class").alias("lo"), F.max("class").alias("hi")
+    )
+    heads = heads.filter("lo <> hi").withColumnRenamed("bucket", "h_bucket")
+    met = materialize(classed.join(_large(heads), F.col("bucket") == F.col("h_bucket")).select("bucket", "row", "n", "class", "a", "a_class", "a_n"), "near-met")
+    drop_table(classed)
+    close = 10 * F.least("n", "a_n") >= 8 * F.greatest("n", "a_n")
+    return met.filter((F.col("class") != F.col("a_class")) & close).select("a", F.col("row").alias("b")).distinct(), met
+
+
+def _open_pairs(members: DataFrame, fine: DataFrame, labels: DataFrame, best: int) -> DataFrame:
+    """Pairs worth comparing among nodes that share a bucket but no class."""
+    classed = materialize(_classed(members, labels), "near-buckets")
+    open_ = classed.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("size")).filter("lo <> hi and size > 2")
     tiles = open_.select(F.col("bucket").alias("o_bucket"), F.ceil(F.col("size") / TILE).cast("int").alias("t"))
-    dealt = classed.join(tiles, F.col("bucket") == F.col("o_bucket")).select("bucket", "row", "class", "t", F.pmod(F.xxhash64("row"), F.col("t")).cast("int").alias("own"))
+    dealt = classed.join(tiles, F.col("bucket") == F.col("o_bucket")).select("bucket", "row", "n", "class", "t", F.pmod(F.xxhash64("row"), F.col("t")).cast("int").alias("own"))
     # tile (i, j), i <= j: block i on side 1 and block j on side 2; both sides are one, 0, where i = j
     tile = F.explode(F.transform(F.sequence(F.lit(0), F.col("t") - 1), lambda o: F.struct(
         F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j"),
         F.when(o == F.col("own"), 0).when(F.col("own") < o, 1).otherwise(2).alias("side"),
     )))
-    spread = dealt.select("bucket", "row", "class", tile.alias("x")).select("bucket", "x.i", "x.j", "x.side", "row", "class")
-    slots = nodes.select(F.col("row").alias("n_row"), "n", "slots")
-    full = spread.join(slots, F.col("row") == F.col("n_row")).select("bucket", "i", "j", "side", "row", "class", "n", "slots")
-    return full.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_meet, "a long, b long").distinct()
+    spread = dealt.select("bucket", "row", "n", "class", tile.alias("x")).select("bucket", "x.i", "x.j", "x.side", "row", "class", "n")
+    held = dealt.groupBy("row").agg(F.collect_list("bucket").alias("buckets"))  # at most BANDS each
+    told = fine.withColumnRenamed("row", "f_row").join(held.withColumnRenamed("row", "h_row"), F.col("f_row") == F.col("h_row")).select("f_row", "fine", "buckets")
+    full = spread.join(told, F.col("row") == F.col("f_row")).select("bucket", "i", "j", "side", "row", "class", "n", "fine", "buckets")
+    return full.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(lambda b: _meet(b, best), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -236,31 +302,41 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 def _classes(base: DataFrame) -> DataFrame:
     """row, doc_id, class_id and keep. base: row, id and text, as a table."""
-    sketches = base.mapInArrow(_sketch, "row long, id long, n long, key1 long, key2 long, bands array<long>, slots binary")
+    sketches = base.mapInArrow(_sketch, "row long, id long, n long, key1 long, key2 long, bands array<long>")
     sketches = materialize(sketches, "near-sketches")
-    copies = sketches.filter("n > 0").groupBy("key1", "key2").agg(F.min("row").alias("node"), F.count("*").alias("size"))
-    firsts = copies.select("node")
-    nodes = materialize(sketches.join(firsts, F.col("row") == F.col("node"), "left_semi").select("row", "n", "bands", "slots"), "near-nodes")
-
-    banded = nodes.select("row", "n", F.explode("bands").alias("bucket"))
-    buckets = materialize(banded.groupBy("bucket").agg(F.min("row").alias("head"), F.count("*").alias("size")).filter("size > 1"), "near-heads")
-    members = banded.join(buckets.withColumnRenamed("bucket", "b_bucket"), F.col("bucket") == F.col("b_bucket")).select("bucket", "row", "n", "head", "size")
-    members = materialize(members, "near-members")
-    first = members.filter(F.col("row") != F.col("head")).select(F.col("head").alias("a"), F.col("row").alias("b"), "n").distinct()
-    lengths = nodes.select(F.col("row").alias("n_row"), F.col("n").alias("n_a"))
-    first = first.join(lengths, F.col("a") == F.col("n_row")).filter(10 * F.least("n", "n_a") >= 8 * F.greatest("n", "n_a")).select("a", "b")
-    tried = materialize(first, "near-first")
-    texts = base.select("row", "text")
-    links = compare(tried, texts)
-    labels = components(links)
-    again = _open_pairs(members.filter("size > 2").select("bucket", "row"), nodes, labels)
-    again = again.join(tried.select(F.col("a").alias("t_a"), F.col("b").alias("t_b")), (F.col("a") == F.col("t_a")) & (F.col("b") == F.col("t_b")), "left_anti")
-    labels = components(links.unionByName(compare(again, texts)))
+    keys = materialize(sketches.drop("bands"), "near-keys")
+    copies = materialize(keys.filter("n > 0").groupBy("key1", "key2").agg(F.min("row").alias("node")), "near-copies")
+    banded = sketches.join(_large(copies.select("node")), F.col("row") == F.col("node"), "left_semi").select("row", "n", F.explode("bands").alias("bucket"))
+    banded = materialize(banded, "near-bands")
+    drop_table(sketches)
+    crowded = banded.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select(F.col("bucket").alias("b_bucket"))
+    members = materialize(banded.join(_large(crowded), F.col("bucket") == F.col("b_bucket")).select("bucket", "row", "n"), "near-members")
+    drop_table(banded)
+    # the texts of nodes that share a bucket with another: what is compared, shuffled once
+    nodes = members.select(F.col("row").alias("m_row")).distinct()
+    texts = materialize(base.select("row", "text").join(_large(nodes), F.col("row") == F.col("m_row"), "left_semi"), "near-texts")
+    labels = None
+    for k in range(ROUNDS):
+        pairs, met = _head_pairs(members, labels, k)
+        links = compare(pairs, texts)
+        drop_table(members)
+        members = materialize(met.select("bucket", "row", "n"), "near-members")
+        drop_table(met)
+        labels = _merged(labels, links)
+        if links.limit(1).count() == 0:
+            break
+    left = members.select(F.col("row").alias("m_row")).distinct()
+    fine = materialize(texts.join(left, F.col("row") == F.col("m_row"), "left_semi").mapInArrow(_finer, "row long, fine binary"), "near-fine")
+    tried = materialize(_open_pairs(members, fine, labels, BEST), "near-best")
+    labels = _merged(labels, compare(tried, texts))
+    rest = _open_pairs(members, fine, labels, 0).join(tried.select(F.col("a").alias("t_a"), F.col("b").alias("t_b")), (F.col("a") == F.col("t_a")) & (F.col("b") == F.col("t_b")), "left_anti")
+    labels = _merged(labels, compare(rest, texts))
+    drop_table(texts)
 
     node = copies.select(F.col("key1").alias("k1"), F.col("key2").alias("k2"), "node")
     of_node = node.join(labels.withColumnRenamed("node", "l_node"), F.col("node") == F.col("l_node"), "left").select("k1", "k2", F.coalesce("label", "node").alias("class"))
-    rows = sketches.select("row", "id", "key1", "key2", "n").join(of_node, (F.col("key1") == F.col("k1")) & (F.col("key2") == F.col("k2")) & (F.col("n") > 0), "left")
+    rows = keys.join(_large(of_node), (F.col("key1") == F.col("k1")) & (F.col("key2") == F.col("k2")) & (F.col("n") > 0), "left")
     rows = materialize(rows.select("row", F.col("id").alias("doc_id"), F.coalesce("class", "row").alias("class")), "near-classes")
     best = rows.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best"))
-    best = best.select(F.col("class").alias("c"), "class_id", F.col("best.row").alias("best_row"))
+    best = materialize(best.select(F.col("class").alias("c"), "class_id", F.col("best.row").alias("best_row")), "near-best-rows")
     return rows.join(best, F.col("class") == F.col("c")).select("row", "doc_id", "class_id", (F.col("row") == F.col("best_row")).alias("keep"))
