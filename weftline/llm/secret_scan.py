@@ -6,10 +6,13 @@ first-order Markov models of its characters, one of random strings and one of or
 identifiers; a token that no base span touches and whose ratio is at least min_ratio, and
 min_rate for each character, is a span of kind markov.
 
-The models are trained from labelled samples: every token of the corpus that lies within a base
-span is a sample of random strings, every token that no base span touches a sample of ordinary
-identifiers. Character pairs are counted over all documents; only the counts, at most
-2 * 65 * 65 numbers, go to the driver. Add-one smoothing makes a class without samples uniform.
+The models are trained from labelled samples: every distinct token of the corpus that lies within
+a base span is a sample of random strings, every one that no base span touches a sample of
+ordinary identifiers. Character pairs are counted over all documents; only the counts, at most
+2 * 39 * 39 numbers, go to the driver. A pair's probability is smoothed by that of its second
+character, and this by one, so a class without samples is uniform. A token that is scored is
+itself a sample of identifiers, so each of its pairs is taken out of them once: a random string
+that stands alone does not vouch for itself.
 
 All of it is DataFrame functions. Spans are code points from the start of the text, end
 exclusive. A text is searched for positions only if a cheap test finds the pattern at all.
@@ -34,7 +37,8 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex", "markov")
-ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+#: The models don't tell upper from lower case: words of headings are ordinary.
+ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789+/_-"
 SPAN = "array<struct<start:int,end:int,token:string>>"
 
 
@@ -87,29 +91,33 @@ def scan(docs: DataFrame, min_token: int, id_col: str, text_col: str) -> DataFra
 def pair_counts(samples: DataFrame) -> DataFrame:
     """label, first, second and n: pairs of neighbouring characters in the tokens of each label."""
     at = F.explode(F.sequence(F.lit(1), F.length("token") - 1)).alias("i")
-    pairs = samples.filter(F.length("token") > 1).select("label", "token", at).select("label", F.substring("token", F.col("i"), F.lit(2)).alias("pair"))
+    pairs = samples.filter(F.length("token") > 1).select("label", "token", at).select("label", F.lower(F.substring("token", F.col("i"), F.lit(2))).alias("pair"))
     return pairs.groupBy("label", F.substring("pair", 1, 1).alias("first"), F.substring("pair", 2, 1).alias("second")).agg(F.count("*").alias("n"))
 
 
-def train(samples: DataFrame) -> list[float]:
-    """Log-likelihood ratio of each pair of characters, random (label 1) to identifier (label 0)."""
+def train(samples: DataFrame, smoothing: float = 100.0) -> list[float]:
+    """Log-likelihood ratio of each pair of characters, random (label 1) to identifier (label 0), with one identifier pair taken out."""
     size = len(ALPHABET)
-    counts = [[1.0] * (size * size) for _ in range(2)]
-    for r in pair_counts(samples).collect():  # at most 2 * 65 * 65 rows
+    pairs = [[0.0] * (size * size) for _ in range(2)]
+    for r in pair_counts(samples).collect():  # at most 2 * 39 * 39 rows
         a, b = ALPHABET.find(r["first"]), ALPHABET.find(r["second"])
         if a >= 0 and b >= 0:
-            counts[int(r["label"])][a * size + b] += r["n"]
-    logs = []
-    for c in counts:
-        rows = [sum(c[a * size : (a + 1) * size]) for a in range(size)]
-        logs.append([math.log(c[i] / rows[i // size]) for i in range(size * size)])
-    return [x - y for y, x in zip(*logs, strict=True)]
+            pairs[int(r["label"])][a * size + b] += r["n"]
+
+    def log_p(counts: list[float], out: int) -> list[float]:
+        first = [sum(counts[a * size : (a + 1) * size]) for a in range(size)]
+        second = [sum(counts[b::size]) for b in range(size)]
+        single = [(max(n - out, 0) + 1) / (sum(second) + size) for n in second]
+        left = lambda n: max(n - out, 0)
+        return [math.log((left(counts[i]) + smoothing * single[i % size]) / (left(first[i // size]) + smoothing)) for i in range(size * size)]
+
+    return [y - x for x, y in zip(log_p(pairs[0], 1), log_p(pairs[1], 0), strict=True)]
 
 
 def ratio(model: list[float], token: Column) -> Column:
     """Log-likelihood ratio of a token."""
     table = F.from_json(F.lit(json.dumps([round(x, 9) for x in model])), "array<double>")
-    code = lambda i: F.position(F.substring(token, i, F.lit(1)), F.lit(ALPHABET)) - 1
+    code = lambda i: F.position(F.lower(F.substring(token, i, F.lit(1))), F.lit(ALPHABET)) - 1
     add = lambda a, i: a + F.get(table, code(i) * len(ALPHABET) + code(i + 1))
     return F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0), add)
 
@@ -120,7 +128,7 @@ def secret_scan(
     """doc_id, spans (array of kind, start, end by start and kind) and n_base of every document."""
     found = materialize(scan(docs, min_token, id_col, text_col), "secret-tokens")
     tokens = found.select(F.explode("tokens").alias("t")).select("t.*")
-    samples = tokens.filter(F.col("inside") | ~F.col("touched")).select("token", F.col("inside").cast("int").alias("label"))
+    samples = tokens.filter(F.col("inside") | ~F.col("touched")).select("token", F.col("inside").cast("int").alias("label")).distinct()
     model = train(samples)
 
     def random(t: Column) -> Column:
