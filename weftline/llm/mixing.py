@@ -98,7 +98,7 @@ def mix(
     """doc_id, size, source_size, target, taken (words) and repeats of every document."""
     size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
     sized = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), seeded_hash(F.col(id_col), seed).alias("h")), "mix-sizes")
-    full = allot(sized, weights, max_epochs)
+    full = materialize(allot(sized, weights, max_epochs), "mix-limits")
     out = sized.join(full, F.col("source").eqNullSafe(F.col("p_source"))).withColumn("repeats", _repeats(F.col("h")))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"), "repeats")
 
