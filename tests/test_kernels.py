@@ -26,6 +26,17 @@ def test_entropy_and_shift():
     assert chunking.shift(["a"], ["A"]) == 0 and chunking.shift(["a"], ["b"]) == 1 and chunking.shift([], ["b"]) == 0
 
 
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.sampled_from(["a", "A", "b", "c", "d", "\n"]), min_size=12, max_size=60))
+def test_sliding_scores_are_those_of_whole_windows(tokens):
+    windows = chunking.Windows(tokens, 4)
+    for i in range(len(tokens)):
+        if i >= 8:
+            want = chunking.shift(tokens[i - 8 : i - 4], tokens[i - 4 : i]) * chunking.entropy(tokens[i - 4 : i])
+            assert abs(windows.score() - want) < 1e-9
+        windows.step()
+
+
 def test_adaptive_splits_topics_and_keeps_fences():
     topics = [f"alpha{i % 7}" for i in range(60)] + [f"beta{i % 9}" for i in range(60)]
     assert len(chunking.adaptive_chunk_tokens(topics, window=8, min_chunk=8, threshold=0.3)) >= 2
