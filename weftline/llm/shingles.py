@@ -12,8 +12,9 @@ import numpy as np
 import pyarrow as pa
 
 WIDTH = 5
-#: Bytes of text that are hashed together; one longer text is hashed in pieces of this size.
-STEP = 1 << 21
+#: Texts, and bytes of text, that are hashed together; one longer text is hashed in pieces of this size.
+TEXTS = 1024
+STEP = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -80,6 +81,7 @@ def parts(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     i = 0
     while i < len(texts):
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + STEP, side="right")) - 1)
+        j = min(j, i + TEXTS)
         piece = data[offsets[i] : offsets[j]]
         if len(piece) > STEP:
             hashes = _long_text(piece)
