@@ -61,10 +61,11 @@ def places(text: Column, pattern: str, keep: Column | None = None) -> Column:
             ).alias("spans"),
         )
         zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(x["found"]) - 1), zero, step, lambda a: a["spans"])
+        spans = F.aggregate(F.sequence(F.lit(0), F.size(x["found"]) - 1), zero, step, lambda a: a["spans"])
+        return F.when(F.size(x["found"]) > 0, spans).otherwise(none)
 
-    both = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
     none = F.array().cast(SPAN)
+    both = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
     test = text.rlike(pattern) if keep is None else keep
     return F.when(test, let(both, walk)).otherwise(none)
 
