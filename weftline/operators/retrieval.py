@@ -44,10 +44,13 @@ def allocate(items: DataFrame, budget: int, order: list[Column], keys: list[str]
     """Texts in order until the budget of tokens is used.
 
     The first that does not fit is cut to whole sentences if any fit into what is left; nothing after it is taken.
+    Every text takes a token or more, so texts beyond the first `budget` of a key can't be taken; Spark drops
+    them before the shuffle, and a hot key is no more than that in one task.
     """
     keys = keys or []
     own = Window.partitionBy(*keys).orderBy(*order)
-    sized = items.withColumn("tokens", tx.token_estimate(F.col(text_col)))
+    first = items.withColumn("i", F.row_number().over(own)).filter(F.col("i") <= budget).drop("i")
+    sized = first.withColumn("tokens", tx.token_estimate(F.col(text_col)))
     summed = sized.withColumn("used", F.sum("tokens").over(own.rowsBetween(Window.unboundedPreceding, 0)))
     left = F.lit(budget) - (F.col("used") - F.col("tokens"))
     cut = summed.filter(left > 0).withColumn("kept", F.when(F.col("used") <= budget, F.col(text_col)).otherwise(tx.leading_sentences(F.col(text_col), left.cast("int"))))

@@ -69,10 +69,11 @@ def counts(events: DataFrame, late: str = "1 hour", size: str = "1 day") -> Data
 
 
 def snapshots(changes: DataFrame, path: str, checkpoint: str, every: int = 5):
-    """Start a query that appends the changes of sessions whose turn counter reaches a multiple of `every`."""
+    """Start a query that appends the changes of sessions whose turn counter passes a multiple of `every` in a batch."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        due = batch.groupBy("session").agg(F.max("turn_counter").alias("n")).filter((F.col("n") % every == 0) | (F.col("n") >= every))
+        span = batch.groupBy("session").agg(F.min("turn_counter").alias("lo"), F.max("turn_counter").alias("hi"))
+        due = span.filter(F.floor(F.col("hi") / every) > F.floor((F.col("lo") - 1) / every))
         batch.join(due.select("session"), "session", "left_semi").withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(path)
 
     return changes.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
