@@ -37,9 +37,11 @@ CUTS = {
     "shouts": (1, 50, 500),  # exclamation marks in 1000 words
     "distinct": (100, 300, 450, 600, 800),  # distinct words in 1000 words
     "stops": (1, 30, 60, 150),  # full stops in 1000 words
-    "digits": (1, 30, 100),  # digits in 1000 characters
+    "echoes": (1, 50, 300),  # words equal to the word before in 1000 words
     "word_length": (350, 450, 550, 600, 700),  # characters in 100 words
 }
+#: Weight of the squares of weights in the risk.
+RIDGE = 1e-4
 SIZES = [len(c) + 1 for c in CUTS.values()]
 
 
@@ -65,14 +67,15 @@ def cell(text: Column) -> Column:
         F.size(w).cast("long").alias("n"),
         F.size(F.array_distinct(w)).cast("long").alias("d"),
         F.aggregate(w, F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("c"),
+        F.size(F.filter(w, lambda x, i: F.coalesce(F.get(w, i - 1) == x, F.lit(False)))).cast("long").alias("e"),
     )
 
     def code(w: Column) -> Column:
         n = F.greatest(w["n"], F.lit(1))
-        per = lambda a, unit, of=n: F.floor(unit * a / of)
+        per = lambda a, unit: F.floor(unit * a / n)
         rates = {
             "length": w["n"], "symbols": per(count(r"[#*$%&|<>]"), 1000), "upper": per(count(r"\p{Lu}"), 1000), "shouts": per(count("!"), 1000),
-            "distinct": per(w["d"], 1000), "stops": per(count(r"\."), 1000), "digits": per(count("[0-9]"), 1000, F.greatest(F.length(text), F.lit(1))),
+            "distinct": per(w["d"], 1000), "stops": per(count(r"\."), 1000), "echoes": per(w["e"], 1000),
             "word_length": per(w["c"], 100),
         }
         out = F.lit(0).cast("long")
@@ -106,7 +109,7 @@ def _descend(x: np.ndarray, gradient, steps: int) -> np.ndarray:
     """Adam from zero; gradient gives d risk / d score of each cell."""
     w, m, v = np.zeros(x.shape[1]), np.zeros(x.shape[1]), np.zeros(x.shape[1])
     for t in range(1, steps + 1):
-        g = x.T @ gradient(x @ w) + 1e-5 * w
+        g = x.T @ gradient(x @ w) + RIDGE * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
     return w
@@ -124,7 +127,7 @@ def estimate_prior(scores: np.ndarray, share: np.ndarray, pos: np.ndarray, least
     return float(np.clip((u[last] / p[last]).min(), 0.01, 0.99))
 
 
-def fit_cells(cells: np.ndarray, n: np.ndarray, n_pos: np.ndarray, steps: int = 600) -> Model:
+def fit_cells(cells: np.ndarray, n: np.ndarray, n_pos: np.ndarray, steps: int = 1500) -> Model:
     """Minimise the non-negative risk over the counts of all cells."""
     if n_pos.sum() == 0:
         return Model(0.0, tuple((0.0,) * k for k in SIZES), 0.5)
