@@ -23,6 +23,11 @@ SENTENCE_GAP = r"(?<=[.!?])\s+"
 SENTENCE_OR_LINE_GAP = r"(?<=[.!?\n])\s+"
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate value once and bind it in body; a plain column would be evaluated at each use within a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def token_estimate(text: Column) -> Column:
     """A quarter of the characters, at least one."""
     return F.greatest(F.lit(1), F.floor(F.length(text) / 4).cast("int"))
