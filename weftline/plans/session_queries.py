@@ -83,7 +83,7 @@ def www_fallback(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # --- memory: user = session, type = name, event = turn
-_MEM = """m AS (SELECT user_id AS session, event_type AS name, 'module' AS scope, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS "when", event_id AS seq,
+_MEM = """m AS (SELECT user_id AS session, event_type AS name, 'module' AS scope, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS INTEGER) AS "when", event_id AS seq,
   CAST(10 + event_id % 17 AS INTEGER) AS tokens, (event_id % 5) / 4.0::DOUBLE AS depth, event_id % 97 = 0 AS is_pinned, CAST(value AS VARCHAR) AS v FROM events)"""
 _DEDUP = 'd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session, name, scope ORDER BY "when" DESC, seq DESC) AS i FROM m) WHERE i = 1 OR is_pinned)'
 _WEIGHT = """round(CASE WHEN is_pinned THEN 'Infinity'::DOUBLE ELSE exp(-0.05 * greatest(0, max("when") OVER (PARTITION BY session) - "when")) * (1 + 0.5 * depth) END, 9)"""
