@@ -110,7 +110,8 @@ def repeated_runs(placed: DataFrame, min_words: int) -> DataFrame:
     keyed = runs.join(_large(head), (F.col("k") == F.col("h_k")) & (pos == F.col("h_pos"))).join(_large(tail), (F.col("k") == F.col("t_k")) & (last == F.col("t_pos")))
     keyed = materialize(keyed.select("start", "i", "n", "head", "tail"), "lines-keys")
     groups = keyed.groupBy("n", "head", "tail").agg(F.min(pos).alias("first"), F.count("*").alias("copies")).filter("copies > 1")
-    groups = groups.withColumnsRenamed({"n": "g_n", "head": "g_head", "tail": "g_tail"})
+    # as a table of its own, so that the join below has shuffles that Spark can split at a hot run
+    groups = materialize(groups.withColumnsRenamed({"n": "g_n", "head": "g_head", "tail": "g_tail"}), "lines-intervals")
     same = (F.col("n") == F.col("g_n")) & (F.col("head") == F.col("g_head")) & (F.col("tail") == F.col("g_tail"))
     return keyed.join(_large(groups), same).filter(pos > F.col("first")).select("start", "i", "n", "copies", "first")
 
