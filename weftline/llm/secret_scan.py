@@ -8,11 +8,16 @@ min_rate for each character, is a span of kind markov.
 
 The models are trained from labelled samples: every distinct token of the corpus that lies within
 a base span is a sample of random strings, every one that no base span touches a sample of
-ordinary identifiers. Character pairs are counted over all documents; only the counts, at most
-2 * 39 * 39 numbers, go to the driver. A pair's probability is smoothed by that of its second
-character, and this by one, so a class without samples is uniform. A token that is scored is
-itself a sample of identifiers, so each of its pairs is taken out of them once: a random string
-that stands alone does not vouch for itself.
+ordinary identifiers. Base spans may be mostly digits or hex, so random strings have a model for
+each character class (CLASSES), half the uniform distribution of the class and half what the
+samples of that class show, and a token is scored by its own class. Unlabelled secrets are among
+the samples of identifiers: those that the models find likelier random are taken out and the
+identifiers counted again, until nothing changes or for `rounds` rounds. Character pairs are counted
+over all documents; only the counts, at most 6 * 39 * 39 numbers, go to the driver. A pair's
+probability among identifiers is smoothed by that of its second character, and this by one, so a
+class without samples is uniform. A token that is scored is itself a sample of identifiers, so
+each of its pairs is taken out of them once: a random string that stands alone does not vouch
+for itself.
 
 All of it is DataFrame functions. Spans are code points from the start of the text, end
 exclusive. A text is searched for positions only if a cheap test finds the pattern at all.
@@ -39,6 +44,14 @@ HEX = r"[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex", "markov")
 #: The models don't tell upper from lower case: words of headings are ordinary.
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789+/_-"
+#: Character classes of random strings, the first that holds a token is its own: pattern, and the share of each character without case.
+CLASSES = (
+    (r"[0-9]+", dict.fromkeys("0123456789", 1 / 10)),
+    (r"[0-9a-f]+|[0-9A-F]+", dict.fromkeys("0123456789abcdef", 1 / 16)),
+    (r"[0-9a-z]+|[0-9A-Z]+", dict.fromkeys(ALPHABET[:36], 1 / 36)),
+    (r"[0-9A-Za-z]+", {c: (2 if c.isalpha() else 1) / 62 for c in ALPHABET[:36]}),
+    (r"[0-9A-Za-z+/_-]+", {c: (2 if c.isalpha() else 1) / 66 for c in ALPHABET}),
+)
 SPAN = "array<struct<start:int,end:int,token:string>>"
 
 
@@ -96,31 +109,66 @@ def pair_counts(samples: DataFrame) -> DataFrame:
     return pairs.groupBy("label", F.substring("pair", 1, 1).alias("first"), F.substring("pair", 2, 1).alias("second")).agg(F.count("*").alias("n"))
 
 
-def train(samples: DataFrame, smoothing: float = 100.0) -> list[float]:
-    """Log-likelihood ratio of each pair of characters, random (label 1) to identifier (label 0), with one identifier pair taken out."""
+def log_ratios(ids: list[float], random: list[list[float]], smoothing: float = 100.0) -> list[float]:
+    """Log-likelihood ratio of each pair of characters, random of each class to identifier, with one identifier pair taken out."""
+    size = len(ALPHABET)
+    first = lambda counts: [sum(counts[a * size : (a + 1) * size]) for a in range(size)]
+    left = lambda n: max(n - 1, 0)
+    second, rows = [sum(ids[b::size]) for b in range(size)], first(ids)
+    single = [(left(n) + 1) / (sum(second) + size) for n in second]
+    ordinary = [math.log((left(ids[i]) + smoothing * single[i % size]) / (left(rows[i // size]) + smoothing)) for i in range(size * size)]
+    out = []
+    for (_, share), counts in zip(CLASSES, random, strict=True):
+        rows, even = first(counts), [share.get(c, 0.0) for c in ALPHABET]
+        for i in range(size * size):
+            u = even[i % size]
+            seen = (counts[i] + smoothing * u) / (rows[i // size] + smoothing)
+            out.append(math.log((u + seen) / 2) - ordinary[i] if u else 0.0)
+    return out
+
+
+def train(samples: DataFrame, rounds: int = 8) -> list[float]:
+    """log_ratios() of samples (token, label), label 1 for random strings and 0 for identifiers, without identifiers that are likelier random."""
     size = len(ALPHABET)
-    pairs = [[0.0] * (size * size) for _ in range(2)]
-    for r in pair_counts(samples).collect():  # at most 2 * 39 * 39 rows
-        a, b = ALPHABET.find(r["first"]), ALPHABET.find(r["second"])
-        if a >= 0 and b >= 0:
-            pairs[int(r["label"])][a * size + b] += r["n"]
-
-    def log_p(counts: list[float], out: int) -> list[float]:
-        first = [sum(counts[a * size : (a + 1) * size]) for a in range(size)]
-        second = [sum(counts[b::size]) for b in range(size)]
-        single = [(max(n - out, 0) + 1) / (sum(second) + size) for n in second]
-        left = lambda n: max(n - out, 0)
-        return [math.log((left(counts[i]) + smoothing * single[i % size]) / (left(first[i // size]) + smoothing)) for i in range(size * size)]
 
-    return [y - x for x, y in zip(log_p(pairs[0], 1), log_p(pairs[1], 0), strict=True)]
+    def counted(labelled: DataFrame) -> list[list[float]]:
+        out = [[0.0] * (size * size) for _ in range(1 + len(CLASSES))]
+        for r in pair_counts(labelled).collect():  # at most 6 * 39 * 39 rows
+            a, b = ALPHABET.find(r["first"]), ALPHABET.find(r["second"])
+            if a >= 0 and b >= 0:
+                out[r["label"]][a * size + b] += r["n"]
+        return out
+
+    ids, *random = counted(samples.select("token", F.when(F.col("label") == 1, 1 + char_class(F.col("token"))).otherwise(0).alias("label")))
+    ordinary = samples.filter("label = 0")
+    for _ in range(rounds):
+        model = log_ratios(ids, random)
+        left = counted(ordinary.filter(ratio(model, F.col("token")) <= 0))[0]
+        if left == ids:
+            break
+        ids = left
+    return log_ratios(ids, random)
+
+
+def char_class(token: Column) -> Column:
+    """Place in CLASSES of a token's class."""
+    of = F.lit(len(CLASSES) - 1)
+    for k, (pattern, _) in reversed(list(enumerate(CLASSES[:-1]))):
+        of = F.when(token.rlike(rf"\A(?:{pattern})\z"), k).otherwise(of)
+    return of
 
 
 def ratio(model: list[float], token: Column) -> Column:
     """Log-likelihood ratio of a token."""
     table = F.from_json(F.lit(json.dumps([round(x, 9) for x in model])), "array<double>")
     code = lambda i: F.position(F.lower(F.substring(token, i, F.lit(1))), F.lit(ALPHABET)) - 1
-    add = lambda a, i: a + F.get(table, code(i) * len(ALPHABET) + code(i + 1))
-    return F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0), add)
+    size = len(ALPHABET)
+
+    def summed(start: Column) -> Column:
+        add = lambda a, i: a + F.get(table, start + code(i) * size + code(i + 1))
+        return F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0), add)
+
+    return let(char_class(token) * (size * size), summed)
 
 
 def secret_scan(
@@ -130,7 +178,7 @@ def secret_scan(
     found = materialize(scan(docs, min_token, id_col, text_col), "secret-tokens")
     tokens = found.select(F.explode("tokens").alias("t")).select("t.*")
     samples = tokens.filter(F.col("inside") | ~F.col("touched")).select("token", F.col("inside").cast("int").alias("label")).distinct()
-    model = train(samples)
+    model = train(materialize(samples, "secret-samples"))
 
     def random(t: Column) -> Column:
         return let(ratio(model, t["token"]), lambda r: (r >= min_ratio) & (r >= min_rate * F.length(t["token"])))
