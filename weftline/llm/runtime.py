@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space of the word rule: a word is a run of other characters.
@@ -13,9 +14,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, only where that is unset, a local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset and all runs in one process, a local one."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
     return f"{root.rstrip('/')}/weftline"
 
@@ -65,6 +68,13 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def deal(table: DataFrame, n: int, tasks: int) -> DataFrame:
+    """The n rows of a small table, of jobs, dealt evenly to at most `tasks` tasks of their own."""
+    parts = max(1, min(n, tasks))
+    numbered = table.withColumn("_job", F.row_number().over(Window.orderBy(*table.columns)))
+    return numbered.repartitionById(parts, F.pmod(F.col("_job"), F.lit(parts)).cast("int")).drop("_job")
+
+
 def let(value: Column, body) -> Column:
     """Evaluate value once and bind it in body: Catalyst would copy it into each use."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -13,7 +13,8 @@ is one row without data, with the length and digest that its headers carry.
 
 Defined results: a null payload is empty; a null id is written as "-", sorts after others and
 comes back null; of rows with equal id and payload one is the response; an empty table gives
-an empty archive and an empty result; other columns are ignored; a null url is empty.
+an empty archive and an empty result; other columns are ignored; a null url is empty; a very long
+payload is one record, written and read in pieces of 64 kB.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.runtime import materialize, new_path
+from weftline.llm.runtime import deal, materialize, new_path
 
 CHUNK = 1 << 16
 CHUNK_SCHEMA = (
@@ -211,9 +212,9 @@ def _read(batches: Iterator[pa.RecordBatch], folder: str, chunk_bytes: int, with
                 yield flush(rows)
 
 
-def read_chunks(manifest: DataFrame, folder: str, chunk_bytes: int = CHUNK, with_data: bool = True) -> DataFrame:
-    """The chunked record table of the archives in a manifest."""
-    files = manifest.select("path").repartition(F.col("path"))
+def read_chunks(manifest: DataFrame, folder: str, chunk_bytes: int = CHUNK, with_data: bool = True, tasks: int = 20_000) -> DataFrame:
+    """The chunked record table of the archives in a manifest, a task for each archive, up to `tasks`."""
+    files = deal(manifest.select("path"), manifest.count(), tasks)
     return files.mapInArrow(lambda b: _read(b, folder, chunk_bytes, with_data), CHUNK_SCHEMA)
 
 
