@@ -6,19 +6,21 @@ the global slot p(i) of a keyed permutation of 0..n-1: a Feistel network over th
 number of bits, walked along its cycle until it falls below n. So the order needs no sort key,
 no state and no shuffle of its own, and any slot can be computed, or inverted, alone.
 
-Sequences are then range-partitioned by slot. A shard holds shard_sequences slots at a fixed
-stride, 24 bytes of header (document id, number of the sequence in it, tokens, crc of the ids, and
+Sequences are then partitioned by ranges of slots, each task getting `task_shards` whole shards in a
+row: the partition of a slot is known, so nothing is sampled. A shard holds shard_sequences slots at a
+fixed stride, 24 bytes of header (document id, number of the sequence in it, tokens, crc of the ids, and
 whether the id is null) and seq_tokens two-byte ids, padded with zeros: slot s is at s % shard_sequences * stride of shard
 s // shard_sequences, so a reader resumes anywhere with one seek. A shard is written under a
 name of its own by each attempt, and the manifest names the one that counts.
 
-Numbers follow from counts per task, not from collected rows; each task writes whole shards. The
-slots are dealt in `waves` ranges, one shuffle after the other, so that the scratch disk holds
-the shuffle of one range only.
+Numbers follow from counts per task, not from collected rows, so the order is that of the key and of
+the splits in which the input is read. The slots are dealt in `waves` ranges, one shuffle after the
+other, so that the scratch disk holds the shuffle of one range only; with one wave a sequence is read
+once, shuffled once and written once.
 
 Defined results: a null or empty text is one sequence of the end-of-text id; repeated rows are
-sequences of their own; a null id is carried as null; an empty table gives no shards; other
-columns are ignored.
+sequences of their own; a null id is carried as null; a very long text is encoded in pieces and held
+as its ids, 4 bytes each; an empty table gives no shards; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +29,6 @@ import gc
 import hashlib
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.runtime import drop_table, materialize, new_path
-from weftline.llm.tokens import END_OF_TEXT, default_path, encoder
+from weftline.llm.runtime import deal, drop_table, materialize, new_path
+from weftline.llm.tokens import END_OF_TEXT, default_path, encoder, ids_of
 
 ROUNDS = 6
 #: Header of a sequence in a shard.
@@ -89,9 +90,8 @@ def _sequences(batches: Iterator[pa.RecordBatch], path: str, seq_tokens: int) ->
             part = batch.slice(at, 256)
             docs, seqs, ids = [], [], []
             for doc_id, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                found = enc.encode_ordinary(text.as_py() or "")
-                found.append(END_OF_TEXT)
-                raw = memoryview(array("H", found)).cast("B")
+                found = np.append(np.frombuffer(ids_of(enc, text.as_py()), dtype=np.uint32), END_OF_TEXT).astype("<u2")
+                raw = memoryview(found).cast("B")
                 for s in range(0, len(found), seq_tokens):
                     docs.append(doc_id)
                     seqs.append(s // seq_tokens)
@@ -103,13 +103,13 @@ def _sequences(batches: Iterator[pa.RecordBatch], path: str, seq_tokens: int) ->
             k += len(ids)
 
 
-def _slots(batches: Iterator[pa.RecordBatch], order: SlotOrder, shard_sequences: int, first: int, until: int) -> Iterator[pa.RecordBatch]:
-    """The sequences whose slots are in a range, with slot and shard."""
+def _slots(batches: Iterator[pa.RecordBatch], order: SlotOrder, part_sequences: int, first: int, until: int) -> Iterator[pa.RecordBatch]:
+    """The sequences whose slots are in a range, with slot and part: the number of the task in the range."""
     for batch in batches:
         slot = order.slot(batch.column(3).to_numpy())
         kept = np.flatnonzero((slot >= first) & (slot < until))
         doc_id, seq, ids = (batch.column(i).take(pa.array(kept)) for i in range(3))
-        yield pa.RecordBatch.from_arrays([doc_id, seq, ids, pa.array(slot[kept]), pa.array(slot[kept] // shard_sequences)], names=["doc_id", "seq", "ids", "slot", "shard"])
+        yield pa.RecordBatch.from_arrays([doc_id, seq, ids, pa.array(slot[kept]), pa.array((slot[kept] - first) // part_sequences, pa.int32())], names=["doc_id", "seq", "ids", "slot", "part"])
 
 
 def _shards(batches: Iterator[pa.RecordBatch], folder: str, seq_tokens: int, shard_sequences: int) -> Iterator[pa.RecordBatch]:
@@ -140,7 +140,7 @@ def _shards(batches: Iterator[pa.RecordBatch], folder: str, seq_tokens: int, sha
 
 
 def materialise_order(
-    docs: DataFrame, key: str = "training-order", seq_tokens: int = 256, shard_sequences: int = 1 << 14, waves: int = 4, tokenizer_path: str | None = None,
+    docs: DataFrame, key: str = "training-order", seq_tokens: int = 256, shard_sequences: int = 1 << 14, task_shards: int = 2, waves: int = 2, tokenizer_path: str | None = None,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> tuple[DataFrame, str]:
     """Write the shards. Returns the manifest (shard, path, sequences) and the folder."""
@@ -158,16 +158,18 @@ def materialise_order(
     root.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(root)
     order = SlotOrder(max(n, 1), key)
     numbered = made.join(F.broadcast(offsets), F.col("task") == F.col("o_task")).select("doc_id", "seq", "ids", (F.col("ahead") + F.col("k")).alias("i"))
-    shards = -(-n // shard_sequences)
-    each, parts = max(1, -(-shards // waves)), []
-    for first in range(0, max(shards, 1), each):
-        span = (first * shard_sequences, (first + each) * shard_sequences)
-        slotted = numbered.mapInArrow(lambda b, span=span: _slots(b, order, shard_sequences, *span), "doc_id long, seq long, ids binary, slot long, shard long")
-        dealt = slotted.repartitionByRange(each, "shard").sortWithinPartitions("slot")
+    each = task_shards * shard_sequences
+    tasks = max(1, -(-n // (each * waves)))  # of a wave
+    parts = []
+    for first in range(0, max(n, 1), tasks * each):
+        span = (first, first + tasks * each)
+        slotted = numbered.mapInArrow(lambda b, span=span: _slots(b, order, each, *span), "doc_id long, seq long, ids binary, slot long, part int")
+        dealt = slotted.repartitionById(tasks, F.col("part")).drop("part").sortWithinPartitions("slot")
         parts.append(materialize(dealt.mapInArrow(lambda b: _shards(b, folder, seq_tokens, shard_sequences), "shard long, path string, sequences long"), "order-manifest"))
         del slotted, dealt
-        gc.collect()
-        spark._jvm.System.gc()  # lets Spark delete the shuffle of this wave
+        if waves > 1:
+            gc.collect()
+            spark._jvm.System.gc()  # lets Spark delete the shuffle of this wave
     written = parts[0]
     for part in parts[1:]:
         written = written.unionByName(part)
@@ -196,13 +198,14 @@ def _read(batches: Iterator[pa.RecordBatch], folder: str, seq_tokens: int, shard
                     yield pa.RecordBatch.from_arrays([*arrays, pa.array(head["crc"] == crc)], names=names)
 
 
-def read_order(written: DataFrame, folder: str, seq_tokens: int = 256, shard_sequences: int = 1 << 14, start_slot: int = 0) -> DataFrame:
+def read_order(written: DataFrame, folder: str, seq_tokens: int = 256, shard_sequences: int = 1 << 14, start_slot: int = 0, tasks: int = 20_000) -> DataFrame:
     """A row for each slot from start_slot on, read sequentially from the shards: slot, shard, position (byte),
-    doc_id, seq, length, ids_crc32 (of the ids read) and intact (it is the crc that was written)."""
+    doc_id, seq, length, ids_crc32 (of the ids read) and intact (it is the crc that was written). A task reads a shard,
+    or several if there are more than `tasks`."""
     first = F.greatest(F.lit(start_slot) - F.col("shard") * shard_sequences, F.lit(0)).cast("long")
     jobs = written.filter((F.col("shard") + 1) * shard_sequences > start_slot).select("shard", "path", first.alias("first"), F.col("sequences").alias("until"))
     schema = "slot long, shard long, position long, doc_id long, seq long, length long, ids_crc32 long, intact boolean"
-    return jobs.repartition("path").mapInArrow(lambda b: _read(b, folder, seq_tokens, shard_sequences), schema)
+    return deal(jobs, jobs.count(), tasks).mapInArrow(lambda b: _read(b, folder, seq_tokens, shard_sequences), schema)
 
 
 def round_trip(docs: DataFrame) -> DataFrame:
