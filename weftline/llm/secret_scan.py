@@ -20,10 +20,15 @@ each of its pairs is taken out of them once: a random string that stands alone d
 for itself.
 
 All of it is DataFrame functions. Spans are code points from the start of the text, end
-exclusive. A text is searched for positions only if a cheap test finds the pattern at all.
+exclusive. A text in which a cheap test finds any pattern is cut into pieces of about `piece`
+characters, at characters that no match can hold: those outside the alphabets of the patterns, and
+single spaces that are next to no other space, colon or equals sign. Matches are found, and tokens
+told from base spans, piece by piece, so the work is in proportion to the text; only a run
+without any such character makes a longer piece.
 
 Defined results: a null text counts as empty (no spans); repeated rows are scanned each; a null
-id is carried; an empty table gives an empty result; other columns are ignored.
+id is carried; a very long text is scanned whole, in pieces; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -83,30 +88,59 @@ def places(text: Column, pattern: str, keep: Column | None = None) -> Column:
     return F.when(test, let(both, walk)).otherwise(none)
 
 
-def scan(docs: DataFrame, min_token: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, base spans (kind, start, end) and the tokens with inside and touched."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+def pieces(text: Column, size: int) -> Column:
+    """start and text of the pieces of a text, cut where no match can be cut."""
+    cut = r"(?:[^A-Za-z0-9+/_.=:\"'\x20-]|(?<=[^\x20:=])\x20(?=[^\x20:=]))"
+    parts = F.regexp_extract_all(text, F.lit(rf"(?s).{{{size}}}.*?{cut}|.+"), F.lit(0))
+
+    def placed(x: Column) -> Column:
+        # one step for each piece, not for each match
+        step = lambda a, p: F.struct((a["at"] + F.length(p)).alias("at"), F.array_append(a["starts"], a["at"]).alias("starts"))
+        starts = F.aggregate(x, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")), step, lambda a: a["starts"])
+        return F.arrays_zip(starts.alias("start"), x.alias("text"))
+
+    return let(parts, placed)
+
+
+def _scan_piece(text: Column, start: Column, min_token: int) -> Column:
+    """base and tokens of a piece."""
     named = lambda kind, spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("k"), s["end"].alias("end")))
     assign = F.filter(places(text, ASSIGN, text.rlike(ASSIGN)), lambda s: F.length(F.regexp_extract(s["token"], r"(?s)\A" + ASSIGN + r"\z", 2)) >= 12)
     base = F.sort_array(F.concat(named("assign", assign), named("access", places(text, ACCESS, F.contains(text, F.lit("AKIA")))), named("hex", places(text, HEX))))
-    tokens = places(text, rf"[A-Za-z0-9+/_-]{{{min_token},}}")
-    found = docs.select(F.col(id_col).alias("doc_id"), base.alias("base"), tokens.alias("tokens"))
-    judged = F.transform(
-        "tokens",
+    judged = lambda base, tokens: F.transform(
+        tokens,
         lambda t: F.struct(
-            t["start"].alias("start"), t["end"].alias("end"), t["token"].alias("token"),
-            F.exists("base", lambda b: (b["start"] <= t["start"]) & (t["end"] <= b["end"])).alias("inside"),
-            F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])).alias("touched"),
+            (start + t["start"]).alias("start"), (start + t["end"]).alias("end"), t["token"].alias("token"),
+            F.exists(base, lambda b: (b["start"] <= t["start"]) & (t["end"] <= b["end"])).alias("inside"),
+            F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])).alias("touched"),
         ),
     )
-    return found.select("doc_id", "base", judged.alias("tokens"))
+    moved = lambda base: F.transform(base, lambda b: F.struct((start + b["start"]).alias("start"), b["k"].alias("k"), (start + b["end"]).alias("end")))
+    both = F.struct(base.alias("base"), places(text, rf"[A-Za-z0-9+/_-]{{{min_token},}}").alias("tokens"))
+    return let(both, lambda x: F.struct(moved(x["base"]).alias("base"), judged(x["base"], x["tokens"]).alias("tokens")))
+
+
+def scan(docs: DataFrame, min_token: int, id_col: str, text_col: str, piece: int) -> DataFrame:
+    """doc_id, base spans (start, k, end) and the tokens (start, end, token) with inside and touched."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    # every base match holds a token of min_token characters, "AKIA" and 14 more, or an assignment
+    any_ = text.rlike(rf"[A-Za-z0-9+/_-]{{{min(min_token, 16)},}}") | text.rlike(ASSIGN)
+    empty = F.array().cast("array<struct<base:array<struct<start:int,k:int,end:int>>,tokens:array<struct<start:int,end:int,token:string,inside:boolean,touched:boolean>>>>")
+    parts = F.when(any_, F.transform(pieces(text, piece), lambda p: _scan_piece(p["text"], p["start"], min_token))).otherwise(empty)
+    found = let(parts, lambda x: F.struct(F.flatten(x["base"]).alias("base"), F.flatten(x["tokens"]).alias("tokens")))
+    return docs.select(F.col(id_col).alias("doc_id"), found.alias("x")).select("doc_id", "x.base", "x.tokens")
+
+
+def characters(token: Column) -> Column:
+    """Places in ALPHABET of a token's characters, case folded."""
+    return F.transform(F.filter(F.split(F.lower(token), ""), lambda c: c != ""), lambda c: F.position(c, F.lit(ALPHABET)) - 1)
 
 
 def pair_counts(samples: DataFrame) -> DataFrame:
-    """label, first, second and n: pairs of neighbouring characters in the tokens of each label."""
-    at = F.explode(F.sequence(F.lit(1), F.length("token") - 1)).alias("i")
-    pairs = samples.filter(F.length("token") > 1).select("label", "token", at).select("label", F.lower(F.substring("token", F.col("i"), F.lit(2))).alias("pair"))
-    return pairs.groupBy("label", F.substring("pair", 1, 1).alias("first"), F.substring("pair", 2, 1).alias("second")).agg(F.count("*").alias("n"))
+    """label, first, second and n: pairs of neighbouring characters, by place in ALPHABET, in the tokens of each label."""
+    coded = samples.filter(F.length("token") > 1).select("label", characters(F.col("token")).alias("c"))
+    pairs = F.transform(F.sequence(F.lit(0), F.size("c") - 2), lambda i: F.struct(F.get("c", i).alias("first"), F.get("c", i + 1).alias("second")))
+    return coded.select("label", F.explode(pairs).alias("p")).groupBy("label", "p.first", "p.second").agg(F.count("*").alias("n"))
 
 
 def log_ratios(ids: list[float], random: list[list[float]], smoothing: float = 100.0) -> list[float]:
@@ -134,7 +168,7 @@ def train(samples: DataFrame, rounds: int = 8) -> list[float]:
     def counted(labelled: DataFrame) -> list[list[float]]:
         out = [[0.0] * (size * size) for _ in range(1 + len(CLASSES))]
         for r in pair_counts(labelled).collect():  # at most 6 * 39 * 39 rows
-            a, b = ALPHABET.find(r["first"]), ALPHABET.find(r["second"])
+            a, b = r["first"], r["second"]
             if a >= 0 and b >= 0:
                 out[r["label"]][a * size + b] += r["n"]
         return out
@@ -161,23 +195,28 @@ def char_class(token: Column) -> Column:
 def ratio(model: list[float], token: Column) -> Column:
     """Log-likelihood ratio of a token."""
     table = F.from_json(F.lit(json.dumps([round(x, 9) for x in model])), "array<double>")
-    code = lambda i: F.position(F.lower(F.substring(token, i, F.lit(1))), F.lit(ALPHABET)) - 1
     size = len(ALPHABET)
 
-    def summed(start: Column) -> Column:
-        add = lambda a, i: a + F.get(table, start + code(i) * size + code(i + 1))
-        return F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0), add)
+    def summed(x: Column) -> Column:
+        add = lambda a, i: a + F.get(table, x["start"] + F.get(x["c"], i) * size + F.get(x["c"], i + 1))
+        return F.aggregate(F.sequence(F.lit(0), F.size(x["c"]) - 2), F.lit(0.0), add)
 
-    return let(char_class(token) * (size * size), summed)
+    return let(F.struct((char_class(token) * (size * size)).alias("start"), characters(token).alias("c")), summed)
 
 
 def secret_scan(
-    docs: DataFrame, min_token: int = 16, min_ratio: float = 12.0, min_rate: float = 0.75, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, min_token: int = 16, min_ratio: float = 12.0, min_rate: float = 0.75, piece: int = 4096,
+    samples: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """doc_id, spans (array of kind, start, end by start and kind) and n_base of every document."""
-    found = materialize(scan(docs, min_token, id_col, text_col), "secret-tokens")
-    tokens = found.select(F.explode("tokens").alias("t")).select("t.*")
-    samples = tokens.filter(F.col("inside") | ~F.col("touched")).select("token", F.col("inside").cast("int").alias("label")).distinct()
+    """doc_id, base and spans (arrays of kind, start, end by start and kind) of every document.
+
+    samples: labelled samples to train from, token and label (1 random, 0 identifier), instead of the corpus's own.
+    """
+    found = materialize(scan(docs, min_token, id_col, text_col, piece), "secret-tokens")
+    if samples is None:
+        tokens = found.select(F.explode("tokens").alias("t")).select("t.*")
+        samples = tokens.filter(F.col("inside") | ~F.col("touched")).select("token", F.col("inside").cast("int").alias("label"))
+    samples = samples.select("token", "label").filter(F.col("token").rlike(r"\A[A-Za-z0-9+/_-]+\z")).distinct()
     model = train(materialize(samples, "secret-samples"))
 
     def random(t: Column) -> Column:
