@@ -1,7 +1,9 @@
 """Operators against brute force, exact round trips and held-out rows."""
 
 import hashlib
+import math
 import re
+import unicodedata
 import zlib
 from array import array
 from collections import Counter, defaultdict
@@ -270,6 +272,72 @@ def test_classifier_on_held_out_rows(spark):
     assert np.mean([r.predicted for r in good]) >= 0.97 and np.mean([1 - r.predicted for r in bad]) >= 0.8
 
 
+def plain_rates(text, bits, buckets):
+    """The rates of a text in plain Python; buckets: the bucket of each word."""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    n, text = max(len(w), 1), text or ""
+    upper = sum(unicodedata.category(c) == "Lu" for c in text)
+    return {
+        "length": len(w), "symbols": 1000 * len(re.findall(r"[#*$%&|<>]", text)) // n, "upper": 1000 * upper // n, "shouts": 1000 * text.count("!") // n,
+        "distinct": 1000 * len(set(w)) // n, "stops": 1000 * text.count(".") // n, "echoes": 1000 * sum(a == b for a, b in zip(w, w[1:], strict=False)) // n,
+        "word_length": 100 * sum(map(len, w)) // n, "rarity": sum(bits[buckets[x]] for x in w) // (100 * n),
+    }
+
+
+def test_cells_counts_and_scores(spark, texts):
+    """Words' bits, cells, counts of cells and scores as plain Python has them."""
+    held = {**texts, -1: None, -2: "", -3: "A A! B# b. b.", -4: "Ünïcode ☃ 𝒳 " * 30}
+    docs = spark.createDataFrame([*held.items(), (-3, held[-3])], "doc_id long, text string")
+    word = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    vocabulary = sorted({w for t in held.values() for w in word(t)})
+    buckets = {r.w: r.b for r in spark.createDataFrame([(w,) for w in vocabulary], "w string").select("w", pu_classifier.bucket(F.col("w")).alias("b")).collect()}
+    seen = Counter(b for t in [*held.values(), held[-3]] for b in {buckets[w] for w in word(t)})
+    n = len(held) + 1
+    bits = pu_classifier.word_bits(docs.select("text"))
+    assert bits == [round(1000 * math.log2((n + 1) / (seen[b] + 1))) for b in range(pu_classifier.BUCKETS)]
+    want = {}
+    for k, t in held.items():
+        rates, cell = plain_rates(t, bits, buckets), 0
+        for name, cuts in pu_classifier.CUTS.items():
+            cell = cell * (len(cuts) + 1) + sum(rates[name] >= c for c in cuts)
+        want[k] = cell
+    coded = docs.select("doc_id", pu_classifier.cell(F.col("text"), bits).alias("cell"))
+    assert {r.doc_id: r.cell for r in coded.collect()} == want
+    labels = spark.createDataFrame([(k, 1) for k in list(texts)[:80]] + [(-3, 1), (-3, 1), (-1, 0), (None, 1)], "doc_id long, quality int")
+    good = {k for k in [*list(texts)[:80], -3] if zlib.crc32(str(k).encode()) % 5}
+    counts = {r.cell: (r.n, r.n_pos, r.n_prior) for r in pu_classifier.cell_counts(coded, labels).collect()}
+    rows = [*want, -3]
+    late = {k for k in good if zlib.crc32(str(k).encode()) % 5 == pu_classifier.PRIOR_FOLD}
+    assert counts == {c: (sum(want[k] == c for k in rows), sum(want[k] == c and k in good for k in rows), sum(want[k] == c and k in late for k in rows)) for c in set(want.values())}
+    model = pu_classifier.fit(coded, labels)
+    scored = {r.doc_id: r.score for r in coded.select("doc_id", pu_classifier.score(model, F.col("cell")).alias("score")).collect()}
+    for k, c in want.items():
+        z = model.bias
+        for weights in reversed(model.weights):
+            c, place = divmod(c, len(weights))
+            z += weights[place]
+        assert abs(scored[k] - 1 / (1 + math.exp(-z))) < 1e-12
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.integers(0, 10**6), st.floats(0.05, 0.95))
+def test_risk_and_its_slope(seed, prior):
+    """The risk against a loop over cells, its slope against differences."""
+    rng = np.random.default_rng(seed)
+    z, share, pos = rng.normal(size=6), rng.dirichlet(np.ones(6)), rng.dirichlet(np.ones(6))
+    loss = lambda v: math.log(1 + math.exp(-v))
+    parts = lambda z: (sum(prior * p * loss(v) for p, v in zip(pos, z, strict=True)), sum((s - prior * p) * loss(-v) for s, p, v in zip(share, pos, z, strict=True)))
+    assert np.allclose(pu_classifier.risk(z, share, pos, prior), parts(z))
+    slope = pu_classifier.risk_gradient(z, share, pos, prior)
+    for i in range(6):
+        up, down = z.copy(), z.copy()
+        up[i] += 1e-5
+        down[i] -= 1e-5
+        a, b = parts(up), parts(down)
+        want = (a[0] + a[1] - b[0] - b[1]) / 2e-5 if parts(z)[1] >= 0 else -(a[1] - b[1]) / 2e-5
+        assert abs(slope[i] - want) < 1e-6
+
+
 def test_prior_estimate():
     scores, share, pos = np.array([3.0, 2.0, 1.0]), np.array([0.4, 0.2, 0.4]), np.array([0.66, 0.34, 0.0])
     assert abs(pu_classifier.estimate_prior(scores, share, pos) - 0.6) < 0.01
