@@ -85,9 +85,10 @@ def closure(edges: DataFrame, hops: int = DEFAULT.max_hops) -> DataFrame:
 def closure_edges(edges: DataFrame, hops: int = DEFAULT.max_hops, weight: float = DEFAULT.transitive_weight) -> DataFrame:
     """The edges and the transitive ones they lack; a transitive edge has half the weight and the type of its last edge."""
     have = edges.select("src", "dst", "edge_type", "weight", F.lit(False).alias("is_transitive"))
-    pairs = closure(edges, hops).filter("hops > 1")
+    reached = closure(edges, hops)
+    pairs = reached.filter("hops > 1")
     last = edges.select(F.col("src").alias("l_src"), F.col("dst").alias("l_dst"), "edge_type", "weight")
-    before = closure(edges, hops).select(F.col("src").alias("b_src"), F.col("dst").alias("b_dst"), (F.col("hops") + 1).alias("b_hops"))
+    before = reached.select(F.col("src").alias("b_src"), F.col("dst").alias("b_dst"), (F.col("hops") + 1).alias("b_hops"))
     ends = pairs.join(before, (F.col("src") == F.col("b_src")) & (F.col("hops") == F.col("b_hops"))).join(last, (F.col("b_dst") == F.col("l_src")) & (F.col("dst") == F.col("l_dst")))
     made = ends.groupBy("src", "dst").agg(F.min(F.struct("b_dst", "edge_type", "weight")).alias("x"))
     return have.unionByName(made.select("src", "dst", "x.edge_type", (F.col("x.weight") * weight).alias("weight"), F.lit(True).alias("is_transitive")))

@@ -53,8 +53,8 @@ def import_edges(files: DataFrame) -> DataFrame:
     return files.select(F.col("doc_id").alias("src"), F.explode(found).alias("dst"))
 
 
-def similarity_rows(vectors: DataFrame, stated: Column, block: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """a, b and similarity: cosine of each stated row with every row.
+def similarity_rows(vectors: DataFrame, stated: Column, block: int = 4096, best: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """a, b and similarity: cosine of each stated row with every row, or with the `best` of each block only.
 
     Both sides are dealt into blocks and a pair of blocks is one matrix product, so nothing is joined
     row by row and no side is broadcast. Vectors that are null, zero or of another length than the first give no row.
@@ -79,7 +79,9 @@ def similarity_rows(vectors: DataFrame, stated: Column, block: int = 4096, id_co
         (a, x), (b, y) = unit(table.filter(pa.array(side))), unit(table.filter(pa.array(~side)))
         for i in range(len(a)):
             if x.shape[1] == y.shape[1]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), a[i])), pa.array(b), pa.array((y * x[i]).sum(axis=1))], names=["a", "b", "similarity"])
+                near = (y * x[i]).sum(axis=1)
+                kept = np.lexsort((b, -near.round(9)))[:best]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(kept), a[i])), pa.array(b[kept]), pa.array(near[kept])], names=["a", "b", "similarity"])
 
     def grouped(t: pa.Table) -> pa.Table:
         out = list(multiply(iter(t.to_batches()))) if t.column("left").to_numpy(zero_copy_only=False).any() else []

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from weftline.config import DEFAULT
 from weftline.functions import text as tx
 from weftline.functions import vectors as vx
-from weftline.operators import graph
+from weftline.operators import graph, ingest
+from weftline.sources.scratch import materialize
 
 
 def vector_of(vectors: DataFrame, key, id_col: str = "vec_id", vector_col: str = "embedding") -> list[float]:
@@ -27,6 +28,13 @@ def vector_search(vectors: DataFrame, query: list[float], k: int = DEFAULT.top_k
     return vectors.select(F.col(id_col).alias("id"), score.alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
+def vector_search_all(vectors: DataFrame, asked: Column, k: int = DEFAULT.top_k, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """query_id, rank, id and score: the k vectors nearest to each of the stated rows, in blocks of matrix products; ties by id."""
+    rows = ingest.similarity_rows(vectors, asked, best=k, id_col=id_col, vector_col=vector_col).withColumn("score", F.round("similarity", 9))
+    best = Window.partitionBy("a").orderBy(F.desc("score"), "b")
+    return rows.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(F.col("a").alias("query_id"), "rank", F.col("b").alias("id"), "score")
+
+
 def ranked(items: DataFrame, *order: Column) -> DataFrame:
     """Adds rank from 1. For lists already cut to k items: the window has no partitions."""
     return items.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
@@ -58,9 +66,21 @@ def allocate(items: DataFrame, budget: int, order: list[Column], keys: list[str]
 
 
 def sequence_graph(vectors: DataFrame, id_col: str = "vec_id", label_col: str = "label") -> DataFrame:
-    """src and dst: each vector to the next of its label."""
-    after = F.lead(id_col).over(Window.partitionBy(label_col).orderBy(id_col))
-    return vectors.select(F.col(id_col).alias("src"), after.alias("dst")).filter(F.col("dst").isNotNull())
+    """src and dst: each vector to the next of its label.
+
+    Rows are sorted by ranges of label and id, so a label may span as many tasks as it needs; what follows
+    the last row of a range is the first of that label's next range, and of those there are as many as tasks and labels.
+    """
+    tasks = max(8, vectors.sparkSession.sparkContext.defaultParallelism)
+    dealt = vectors.select(F.col(label_col).alias("label"), F.col(id_col).alias("id")).repartitionByRange(tasks, "label", "id")
+    dealt = materialize(dealt.withColumn("part", F.spark_partition_id()), "label-ranges")
+    own = F.lead("id").over(Window.partitionBy("label", "part").orderBy("id"))
+    first = dealt.groupBy("label", "part").agg(F.min("id").alias("first"))
+    after = F.lead("first").over(Window.partitionBy("label").orderBy("part"))
+    ends = first.select(F.col("label").alias("e_label"), F.col("part").alias("e_part"), after.alias("after"))
+    linked = dealt.select("label", "part", F.col("id").alias("src"), own.alias("own"))
+    joined = linked.join(ends, F.col("label").eqNullSafe(F.col("e_label")) & (F.col("part") == F.col("e_part")))
+    return joined.select("src", F.coalesce("own", "after").alias("dst")).filter(F.col("dst").isNotNull())
 
 
 def hybrid_context(vectors: DataFrame, edges: DataFrame, texts: DataFrame, query: list[float], k: int = DEFAULT.top_k, hops: int = DEFAULT.hops, budget: int = DEFAULT.token_budget) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,9 +33,26 @@ def sql_turns(spark: SparkSession, sf: str) -> DataFrame:
 _SQLT = f"q AS (SELECT o_custkey % 100 AS session, CAST(o_orderkey AS INTEGER) AS turn_index, {_SQL_TEXT} AS content, concat('t', o_custkey % 7) AS tab, concat('t', o_custkey % 5) AS src, o_orderkey % 5 AS k FROM orders)"
 
 
-@query("detect_language", f"WITH {_SQLT} SELECT session, turn_index, 'sql' AS language FROM q")
+_SHELL_TEXT = "CASE p_partkey % 5 WHEN 0 THEN '#!/bin/sh' || chr(10) || 'ls' WHEN 1 THEN '```js' || chr(10) || 'let x = 1' || chr(10) || '```' WHEN 2 THEN 'export A=' || p_partkey WHEN 3 THEN 'plain words on ' || p_name ELSE '```python' || chr(10) || 'def broken' || p_partkey || '(: pass' || chr(10) || '```' END"
+
+
+def shell_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """Shell, JavaScript, plain words and Python that does not parse."""
+    return table(spark, sf, "part").selectExpr("p_partkey % 50 AS session", "CAST(p_partkey AS INT) AS turn_index", "'user' AS role", f"{_SHELL_TEXT.replace('chr(10)', 'char(10)')} AS content")
+
+
+_KINDS = f"""SELECT session, turn_index, CASE WHEN tag IN ('python', 'py') THEN 'python' WHEN tag = 'sql' THEN 'sql' WHEN tag IN ('bash', 'sh', 'shell') THEN 'bash' WHEN tag IN ('js', 'javascript', 'ts', 'typescript') THEN 'javascript'
+  WHEN regexp_matches(content, '{tx.PYTHON_WORDS}') THEN 'python' WHEN regexp_matches(content, '{tx.SQL_WORDS}') THEN 'sql' WHEN regexp_matches(content, '{tx.BASH_WORDS}') THEN 'bash' END AS language
+  FROM (SELECT *, lower(regexp_extract(content, '```(\\w+)', 1)) AS tag FROM u)"""
+
+
+@query("detect_language", f"""WITH {_SQLT}, u AS (SELECT session, turn_index, content FROM q UNION ALL SELECT p_partkey % 50, CAST(p_partkey AS INTEGER), {_SHELL_TEXT} FROM part
+  UNION ALL SELECT l_orderkey, CAST(n AS INTEGER), concat('```python', chr(10), 'v', n, chr(10), '```') FROM (SELECT l_orderkey, {_N} AS n FROM lineitem) UNION ALL SELECT conv_id, CAST(turn AS INTEGER), text FROM conversations) {_KINDS}""")
 def detect_language(spark: SparkSession, sf: str) -> DataFrame:
-    return sql_turns(spark, sf).select("session", "turn_index", tx.detect_language(F.col("content")).alias("language"))
+    talk = session_queries.turns(spark, sf)
+    columns = ["session", "turn_index", "content"]
+    both = sql_turns(spark, sf).select(columns).unionByName(shell_turns(spark, sf).select(columns)).unionByName(python_turns(spark, sf).select(columns)).unionByName(talk.select(columns))
+    return both.select("session", "turn_index", tx.detect_language(F.col("content")).alias("language"))
 
 
 @query("sql_mutations", f"""WITH {_SQLT} SELECT session, turn_index, 0 AS position, tab AS target, CASE k WHEN 0 THEN 'CREATE(id INT, name TEXT)' WHEN 1 THEN 'ALTER' WHEN 2 THEN 'DROP' WHEN 3 THEN 'INSERT' ELSE 'UPDATE' END AS change,
@@ -63,12 +82,36 @@ def code_graph(spark: SparkSession, sf: str) -> DataFrame:
     return code.code_nodes(code.code_events(python_turns(spark, sf))).select("session", "node_id", "turn_index", "node_type", "content")
 
 
-@query("www_mutations", f"""WITH {_SQLT} SELECT session, turn_index, 'user' AS who, 'schema_change' AS mutation_type, tab AS target FROM q
-  UNION ALL SELECT conv_id, CAST(turn AS INTEGER), CASE role WHEN 'user' THEN 'user' WHEN 'tool' THEN 'tool' WHEN 'system' THEN 'system' ELSE 'agent' END, 'nl_statement', 'summary' FROM conversations""")
+@query("www_mutations", f"""WITH {_SQLT} SELECT session, turn_index, 'user' AS who, 'schema_change' AS mutation_type, tab AS target, CASE k WHEN 0 THEN 'CREATE(id INT, name TEXT)' WHEN 1 THEN 'ALTER' WHEN 2 THEN 'DROP' WHEN 3 THEN 'INSERT' ELSE 'UPDATE' END AS value,
+  CASE WHEN k <= 2 THEN 1.0 ELSE 0.8 END::DOUBLE AS depth FROM q
+  UNION ALL SELECT conv_id, CAST(turn AS INTEGER), CASE role WHEN 'user' THEN 'user' WHEN 'tool' THEN 'tool' WHEN 'system' THEN 'system' ELSE 'agent' END, 'nl_statement', 'summary', left(text, 80), 0.0 FROM conversations
+  UNION ALL SELECT p_partkey % 50, CAST(p_partkey AS INTEGER), 'user', 'nl_statement', 'summary', left({_SHELL_TEXT}, 80), 0.0 FROM part
+  UNION ALL SELECT l_orderkey, CAST(n AS INTEGER), 'agent', 'var_assign', concat('v', n), concat('v', n, ' = ', CASE WHEN n = 1 THEN CAST(l_partkey AS VARCHAR) ELSE concat('v', n - 1, ' + 1') END), 1.0 FROM (SELECT l_orderkey, l_partkey, {_N} AS n FROM lineitem)""")
 def www_mutations(spark: SparkSession, sf: str) -> DataFrame:
-    columns = ["session", "turn_index", "who", "mutation_type", "target"]
+    """SQL, Python, talk, and code that does not parse."""
+    columns = ["session", "turn_index", "who", "mutation_type", "target", "value", "depth"]
     talk = session_queries.turns(spark, sf).select("session", "turn_index", "role", "content")
-    return code.mutations(sql_turns(spark, sf)).select(columns).unionByName(code.mutations(talk).select(columns))
+    found = [code.mutations(t).select(columns) for t in (sql_turns(spark, sf), talk, shell_turns(spark, sf), python_turns(spark, sf))]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+_PLAIN = "concat(turn_index, ':nl_sentence:', substr(md5(content), 1, 8))"
+
+
+@query("turn_graph", f"""WITH {_SQLT}, n AS (SELECT session, turn_index, content FROM q WHERE k <> 0 UNION ALL SELECT 1000 + conv_id, CAST(turn AS INTEGER), text FROM conversations
+  UNION ALL SELECT 5000 + p_partkey % 50, CAST(p_partkey AS INTEGER), {_SHELL_TEXT} FROM part),
+  e AS (SELECT 10000 + user_id AS session, CAST(event_id AS INTEGER) AS turn_index, CASE WHEN event_type = 'error' THEN 'failed: ' || props ELSE props END AS content, event_type = 'error' AS bad, json_extract_string(props, '$.k') AS v FROM events)
+  SELECT session, {_PLAIN} AS node_id, turn_index, 'nl_sentence' AS node_type, left(content, 500) AS content FROM n
+  UNION ALL SELECT session, concat(turn_index, ':schema_field:', tab), turn_index, 'schema_field', tab FROM q WHERE k = 0
+  UNION ALL SELECT session, CASE WHEN bad THEN concat(turn_index, ':api_response:', substr(md5(content), 1, 8)) ELSE concat(turn_index, ':tool_json_field:k') END, turn_index, CASE WHEN bad THEN 'api_response' ELSE 'tool_json_field' END, CASE WHEN bad THEN content ELSE concat('k=', v) END FROM e""")
+def turn_graph(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes of turns of all kinds: SQL, talk, tool output that is JSON or not, other languages, code that does not parse."""
+    columns = ["session", "turn_index", "role", "content", "token_count"]
+    tool = table(spark, sf, "events").selectExpr("10000 + user_id AS session", "CAST(event_id AS INT) AS turn_index", "'tool' AS role", "CASE WHEN event_type = 'error' THEN 'failed: ' || props ELSE props END AS content")
+    talk = session_queries.turns(spark, sf).withColumn("session", 1000 + F.col("session"))
+    made = sql_turns(spark, sf).unionByName(shell_turns(spark, sf).withColumn("session", 5000 + F.col("session"))).unionByName(tool)
+    both = made.withColumn("token_count", tx.token_estimate(F.col("content"))).select(columns).unionByName(talk.select(columns))
+    return code.turn_graph(both)[0].select("session", "node_id", "turn_index", "node_type", "content")
 
 
 @query("tool_json_nodes", "SELECT user_id AS session, CAST(event_id AS INTEGER) AS turn_index, 'k' AS key, concat('k=', json_extract_string(props, '$.k')) AS content FROM events")

@@ -25,10 +25,14 @@ def cosine_distance(spark: SparkSession, sf: str) -> DataFrame:
 _TOP = f"SELECT vec_id AS id, round(1 - {_DIST}, 9) AS score FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY score DESC, id LIMIT 20"
 
 
-@query("vector_topk", f"SELECT id, round(score, 6) AS score FROM ({_TOP})")
+@query(
+    "vector_topk",
+    f"""SELECT query_id, CAST(i AS INTEGER) AS rank, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS i FROM (
+    SELECT q.vec_id AS query_id, a.vec_id AS id, round({_COS}, 9) AS score FROM embeddings q, embeddings a WHERE q.vec_id % 100 = 0)) WHERE i <= 20""",
+)
 def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "embeddings")
-    return retrieval.vector_search(e, retrieval.vector_of(e, 0)).withColumn("score", F.round("score", 6))
+    """The 20 nearest of every row whose id is divisible by 100, among all rows."""
+    return retrieval.vector_search_all(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0).withColumn("score", F.round("score", 6))
 
 
 @query("pairwise_cosine", f"SELECT q.vec_id AS a, a.vec_id AS b, round({_COS}, 6) AS similarity FROM embeddings q, embeddings a WHERE q.vec_id % 100 = 0")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import text as tx
-from weftline.operators import memory, telemetry, zones
+from weftline.operators import memory, telemetry, turn, zones
 from weftline.plans.registry import query, table
 
 TOK = "greatest(1, length(text) // 4)"
@@ -101,10 +101,11 @@ def memory_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return memory.dedup(tuples(spark, sf)).select("session", "name", "when", "seq", "is_pinned")
 
 
-@query("decay_weight", f"WITH {_MEM} SELECT session, seq, round({_WEIGHT}, 6) AS weight FROM m WHERE NOT is_pinned")
+@query("decay_weight", f"WITH {_MEM} SELECT session, seq, is_pinned, CASE WHEN NOT is_pinned THEN round(weight, 6) END AS weight FROM (SELECT *, {_WEIGHT} AS weight FROM m)")
 def decay_weight(spark: SparkSession, sf: str) -> DataFrame:
-    w = memory.weigh(tuples(spark, sf).filter("NOT is_pinned"))
-    return w.select("session", "seq", F.round("weight", 6).alias("weight"))
+    """The weight of every tuple; that of pinned ones is infinite, and null here."""
+    w = memory.weigh(tuples(spark, sf))
+    return w.select("session", "seq", "is_pinned", F.when(~F.col("is_pinned"), F.round("weight", 6)).alias("weight"))
 
 
 @query("memory_pin", f"WITH {_MEM} SELECT session, seq, is_pinned OR name = 'error' AND session % 2 = 0 AS is_pinned FROM m")
@@ -134,11 +135,11 @@ def memory_block(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # --- facts: document = fact, source = session; weight from quality and length
-_FACTS = """fa AS (SELECT concat('f', d.doc_id) AS fact_id, source AS session, lang AS node_type, left(text, 300) AS content, round(0.5 + (d.doc_id % 100) / 200.0::DOUBLE, 3) AS weight, d.doc_id AS seq FROM documents d)"""
+_FACTS = """fa AS (SELECT concat('f', d.doc_id) AS fact_id, source AS session, lang AS node_type, text AS content, round(0.5 + (d.doc_id % 100) / 200.0::DOUBLE, 3) AS weight, d.doc_id AS seq FROM documents d)"""
 
 
 def facts(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").selectExpr("concat('f', doc_id) AS fact_id", "source AS session", "lang AS node_type", "left(text, 300) AS content", "round(0.5 + (doc_id % 100) / 200D, 3) AS weight", "doc_id AS seq")
+    return table(spark, sf, "documents").selectExpr("concat('f', doc_id) AS fact_id", "source AS session", "lang AS node_type", "text AS content", "round(0.5 + (doc_id % 100) / 200D, 3) AS weight", "doc_id AS seq")
 
 
 @query(
@@ -188,21 +189,34 @@ def facts_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return memory.upsert_facts(table(spark, sf, "documents").selectExpr("concat('f', doc_id % 300) AS fact_id", "n_chars AS last_accessed_at", "doc_id AS seq"))
 
 
-_NOTE = """'<!-- CTX_FACTS [' || string_agg('{"node_type":"' || node_type || '","content":"' || short || '","weight":' || CAST(weight AS VARCHAR) || '}', ',' ORDER BY weight DESC, fact_id) || '] -->'"""
-_SHORT = "sh AS (SELECT *, replace(left(content, 40), chr(10), ' ') AS short FROM fa WHERE regexp_full_match(content[:40], '[A-Za-z ,.]*') AND weight > 0.9)"
+_NOTE = """'<!-- CTX_FACTS [' || string_agg('{"node_type":' || to_json(node_type) || ',"content":' || to_json(left(content, 200)) || ',"weight":' || CAST(weight AS VARCHAR) || '}', ',' ORDER BY weight DESC, fact_id) || '] -->'"""
+_BEST = "sh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY weight DESC, fact_id) AS i FROM fa) WHERE i <= 50)"
 
 
-@query("facts_annotation", f"WITH {_FACTS}, {_SHORT} SELECT session, {_NOTE} AS content FROM sh GROUP BY session")
+@query("facts_annotation", f"WITH {_FACTS}, {_BEST} SELECT session, {_NOTE} AS content FROM sh GROUP BY session")
 def facts_annotation(spark: SparkSession, sf: str) -> DataFrame:
-    f = facts(spark, sf).filter("weight > 0.9").filter(F.regexp(F.left("content", F.lit(40)), F.lit(r"\A[A-Za-z ,.]*\z"))).withColumn("content", F.left("content", F.lit(40)))
-    return memory.annotation(f)
+    return memory.annotation(facts(spark, sf))
 
 
-@query("facts_inject", f"WITH t AS ({_TURNS}) SELECT session, turn_index, CASE WHEN role = 'system' AND session % 2 = 0 THEN content || chr(10) || 'note ' || session ELSE content END AS content FROM t")
+@query(
+    "facts_inject",
+    f"""WITH t AS ({_TURNS}), {_FACTS}, h AS (SELECT session AS item_id, arg_min(content, turn_index) AS text FROM t WHERE role = 'user' GROUP BY session),
+    a AS (SELECT item_id, unnest({_BAG.format('text')}) AS word FROM h), b AS (SELECT fact_id, weight, len({_BAG.format('content')}) AS n, unnest({_BAG.format('content')}) AS word FROM fa),
+    c AS (SELECT item_id, fact_id, round(count(*) / sqrt(n + 1.0::DOUBLE) * weight, 6) AS score FROM a JOIN b ON a.word = b.word GROUP BY item_id, fact_id, n, weight),
+    r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, fact_id) AS i FROM c) WHERE i <= 5),
+    n AS (SELECT item_id, {_NOTE} AS note FROM (SELECT item_id, fa.* FROM r JOIN fa ON r.fact_id = fa.fact_id) GROUP BY item_id)
+    SELECT session, turn_index, CASE WHEN role = 'system' AND note IS NOT NULL THEN content || chr(10) || note ELSE content END AS content FROM t LEFT JOIN n ON session = item_id""",
+)
 def facts_inject(spark: SparkSession, sf: str) -> DataFrame:
+    """The five facts that fit a session's first user message best go to its system turn."""
     t = turns(spark, sf)
-    notes = t.filter("session % 2 = 0").select("session", F.concat(F.lit("note "), F.col("session").cast("string")).alias("content")).distinct()
-    return memory.inject(t, notes).select("session", "turn_index", "content")
+    return memory.inject(t, turn.notes(t, facts(spark, sf).drop("session"))).select("session", "turn_index", "content")
+
+
+@query("assemble_turn")
+def assemble_turn(spark: SparkSession, sf: str) -> DataFrame:
+    """What is sent for each conversation: prefix with facts, memory, compacted or raw T, and R. Tested against plain Python."""
+    return turn.full_turn(turns(spark, sf), facts(spark, sf).drop("session"), 640, 256)
 
 
 # --- telemetry
@@ -247,12 +261,6 @@ def sse_format(spark: SparkSession, sf: str) -> DataFrame:
     return telemetry.sse(e, "event", F.struct(F.col("event_type").alias("event"), F.col("user_id").alias("session_id"), F.get_json_object("props", "$.k").cast("long").alias("k")))
 
 
-@query("tokens_saved", f"SELECT source, CAST(sum({TOK} - least({TOK}, 512)) AS BIGINT) AS saved, count(*) AS n FROM documents GROUP BY source")
-def tokens_saved(spark: SparkSession, sf: str) -> DataFrame:
-    t = tx.token_estimate(F.col("text"))
-    return table(spark, sf, "documents").groupBy("source").agg(F.sum(t - F.least(t, F.lit(512))).alias("saved"), F.count("*").alias("n"))
-
-
 _SNAP = "SELECT user_id AS session, max(event_id) AS turn_counter, min(event_id) AS created_at, max(event_id) AS updated_at FROM events WHERE {} GROUP BY user_id"
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import text as tx
-from weftline.operators import chunking, terms
+from weftline.operators import chunking, terms, toolout
 from weftline.plans.registry import query, table
 
 #: The same words in DuckDB.
@@ -61,6 +61,16 @@ def compress_text(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", tx.compress_text(F.col("text"), F.lit(64)).alias("compressed"))
 
 
+_SAVED = f"SELECT d.doc_id, source, {TOKENS} AS tokens, CASE WHEN {TOKENS} <= 512 THEN text ELSE (CASE WHEN k.kept = '' THEN substr(text, 1, 2048) ELSE k.kept END) || chr(10) || '... [truncated]' END AS short FROM documents d JOIN ({_FIT.format(budget=512, split=_MARKED_LINES)}) k ON d.doc_id = k.doc_id"
+
+
+@query("tokens_saved", f"SELECT source, CAST(sum(tokens - least(tokens, greatest(1, length(short) // 4))) AS BIGINT) AS saved, count(*) AS n FROM ({_SAVED}) GROUP BY source")
+def tokens_saved(spark: SparkSession, sf: str) -> DataFrame:
+    """What the compressor of tool output saves in the documents of each source."""
+    rows = toolout.compress(table(spark, sf, "documents").select("source", F.col("text").alias("content")))
+    return rows.groupBy("source").agg(F.sum("saved").alias("saved"), F.count("*").alias("n"))
+
+
 @query(
     "chunk_fixed",
     f"""WITH w AS (SELECT doc_id, {WORDS} AS ws FROM documents),

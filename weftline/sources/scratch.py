@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weftline.config import ConfigError
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a local folder where that is unset."""
+    """spark.checkpoint.dir, or, where that is unset and all runs in one process, a local folder."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{(root or f'file:///tmp/checkpoints/{spark.sparkContext.applicationId}').rstrip('/')}/weftline"
+    if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ConfigError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
+    return f"{root.rstrip('/')}/weftline"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
