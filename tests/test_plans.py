@@ -6,7 +6,7 @@ from weftline.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 #: Queries whose results depend on a whole row or group in order, or on matrix products.
-PYTHON = {"chunk_adaptive", "code_graph", "def_use_edges", "www_mutations", "compact_session", "tool_compress", "pairwise_cosine", "vector_topk", "turn_graph", "assemble_turn", "tokens_saved"}
+PYTHON = {"chunk_adaptive", "code_graph", "def_use_edges", "www_mutations", "compact_session", "tool_compress", "pairwise_cosine", "vector_topk", "turn_graph", "assemble_turn", "tokens_saved", "text_topk"}
 
 
 def plan(df):

@@ -51,6 +51,7 @@ class Config:
     ring: int = 500
     replay: int = 30
     persist_every: int = 5
+    tuples_persisted: int = 200
 
     def __post_init__(self) -> None:
         if self.total_tokens < 1 or self.tail_tokens > self.total_tokens:

@@ -53,19 +53,20 @@ def import_edges(files: DataFrame) -> DataFrame:
     return files.select(F.col("doc_id").alias("src"), F.explode(found).alias("dst"))
 
 
-def similarity_rows(vectors: DataFrame, stated: Column, block: int = 4096, best: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """a, b and similarity: cosine of each stated row with every row, or with the `best` of each block only.
+def similarity_rows(vectors: DataFrame, stated: Column, block: int = 4096, best: int | None = None, among: Column | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """a, b and similarity: cosine of each stated row with every row, or with those of `among`; the `best` of each block only, if set.
 
     Both sides are dealt into blocks and a pair of blocks is one matrix product, so nothing is joined
     row by row and no side is broadcast. Vectors that are null, zero or of another length than the first give no row.
     """
-    base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), stated.alias("asked")).filter(F.col("v").isNotNull())
+    whole = F.lit(True) if among is None else among
+    base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), stated.alias("asked"), whole.alias("among")).filter(F.col("v").isNotNull())
     n, n_asked = base.agg(F.count("*"), F.count_if("asked")).first()
     rows, columns = max(1, -(-n_asked // block)), max(1, -(-n // block))
     deal = lambda m: F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     left = base.filter("asked").select("id", "v", F.lit(True).alias("left"), deal(rows).alias("r"), every(columns).alias("c"))
-    right = base.select("id", "v", F.lit(False).alias("left"), deal(columns).alias("c"), every(rows).alias("r")).select(*left.columns)
+    right = base.filter("among").select("id", "v", F.lit(False).alias("left"), deal(columns).alias("c"), every(rows).alias("r")).select(*left.columns)
 
     def unit(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         v = [np.asarray(x, dtype=np.float64) for x in t.column("v").to_pylist()]

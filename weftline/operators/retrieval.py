@@ -35,11 +35,32 @@ def vector_search_all(vectors: DataFrame, asked: Column, k: int = DEFAULT.top_k,
     return rows.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(F.col("a").alias("query_id"), "rank", F.col("b").alias("id"), "score")
 
 
+def text_search(texts: DataFrame, asked: DataFrame, k: int = DEFAULT.top_k) -> DataFrame:
+    """query_id, rank, id and score of the k texts nearest to each query; both are (id, vector) of one encoder."""
+    # queries have odd keys and texts even ones, so that one table holds both
+    both = texts.select((2 * F.col("id")).alias("vec_id"), F.col("vector").alias("embedding")).unionByName(asked.select((2 * F.col("id") + 1).alias("vec_id"), F.col("vector").alias("embedding")))
+    near = ingest.similarity_rows(both, F.col("vec_id") % 2 == 1, best=k, among=F.col("vec_id") % 2 == 0)
+    rows = near.select(F.shiftright("a", 1).alias("query_id"), F.shiftright("b", 1).alias("id"), F.round("similarity", 9).alias("score"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return rows.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+
+
 def ranked(items: DataFrame, *order: Column) -> DataFrame:
     """Adds rank from 1. For lists already cut to k items: the window has no partitions."""
     return items.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
+def ranked_all(items: DataFrame, *order: Column) -> DataFrame:
+    """Adds rank from 1 to a list of any length: rows are sorted by ranges, and the sizes of the ranges before are added."""
+    tasks = max(8, items.sparkSession.sparkContext.defaultParallelism)
+    dealt = items.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    # the lower 33 bits number the rows of a task
+    dealt = materialize(dealt.withColumn("_part", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "ranges")
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("n"))  # a row for each task
+    ahead = sizes.select(F.col("_part").alias("_of"), F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
+    return dealt.join(ahead, F.col("_part") == F.col("_of")).withColumn("rank", (F.col("_ahead") + F.col("_place") + 1).cast("int")).drop("_part", "_place", "_of", "_ahead")
+
+
 def rrf(rankings: list[DataFrame], k: int = DEFAULT.rrf_k) -> DataFrame:
     """Reciprocal rank fusion of (id, rank) lists: id and score, a sum over lists of 1 / (k + rank)."""
     whole = rankings[0].select("id", "rank")
@@ -92,8 +113,7 @@ def hybrid_context(vectors: DataFrame, edges: DataFrame, texts: DataFrame, query
     by_vector = ranked(hits, F.desc("score"), F.col("id"))
     root = hits.orderBy(F.desc("score"), "id").select("id").first()
     near = graph.bfs(edges, [root[0]] if root else [], hops)
-    by_graph = ranked(near.withColumnRenamed("node", "id"), F.col("depth"), F.col("id"))
-    fused = rrf([by_vector, by_graph])
-    found = texts.join(F.broadcast(fused), "id")  # at most k hits and what lies within `hops` of one node
+    by_graph = ranked_all(near.withColumnRenamed("node", "id"), F.col("depth"), F.col("id"))
+    found = texts.join(rrf([by_vector, by_graph]), "id")
     kept = allocate(found, budget, [F.desc("score"), F.col("id")])
     return kept.select(F.row_number().over(Window.orderBy(F.desc("score"), "id")).alias("pos"), "id", "score", "kept")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text as tx
 from weftline.functions import vectors as vx
-from weftline.operators import graph, ingest, retrieval
+from weftline.operators import graph, ingest, retrieval, terms
 from weftline.plans.registry import query, table
 
 _DOT = "list_sum(list_transform(range(1, len({a}) + 1), lambda i: {a}[i]::DOUBLE * {b}[i]::DOUBLE))"
@@ -35,6 +35,22 @@ def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.vector_search_all(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0).withColumn("score", F.round("score", 6))
 
 
+_TERMS = "SELECT {key} AS key, ('0x' || substr(md5(w), 1, 4))::INTEGER % 256 AS d, count(*)::DOUBLE AS n FROM (SELECT {key}, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS w FROM {of}) GROUP BY ALL"
+_UNIT = "(SELECT key, d, n / sqrt(sum(n * n) OVER (PARTITION BY key)) AS v FROM ({}))"
+
+
+@query(
+    "text_topk",
+    f"""SELECT query_id, CAST(i AS INTEGER) AS rank, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS i FROM (
+    SELECT q.key AS query_id, a.key AS id, round(sum(q.v * a.v), 9) AS score FROM {_UNIT.format(_TERMS.format(key='item_id', of='benchmark'))} q JOIN {_UNIT.format(_TERMS.format(key='doc_id', of='documents'))} a ON q.d = a.d GROUP BY ALL)) WHERE i <= 20""",
+)
+def text_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The 20 documents nearest to each benchmark text, by an encoder that both share."""
+    docs = terms.encode(table(spark, sf, "documents"))
+    asked = terms.encode(table(spark, sf, "benchmark"), id_col="item_id")
+    return retrieval.text_search(docs, asked).withColumn("score", F.round("score", 6))
+
+
 @query("pairwise_cosine", f"SELECT q.vec_id AS a, a.vec_id AS b, round({_COS}, 6) AS similarity FROM embeddings q, embeddings a WHERE q.vec_id % 100 = 0")
 def pairwise_cosine(spark: SparkSession, sf: str) -> DataFrame:
     """The stated rows of the similarity matrix, those of ids divisible by 100, in blocks of matrix products."""
@@ -53,7 +69,7 @@ def _rankings(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
     hits = retrieval.vector_search(e, retrieval.vector_of(e, 0))
     near = graph.bfs(retrieval.sequence_graph(e), [hits.first()[0]], 2)
-    by_graph = retrieval.ranked(near.withColumnRenamed("node", "id"), F.col("depth"), F.col("id"))
+    by_graph = retrieval.ranked_all(near.withColumnRenamed("node", "id"), F.col("depth"), F.col("id"))
     return retrieval.rrf([retrieval.ranked(hits, F.desc("score"), F.col("id")), by_graph])
 
 
@@ -65,7 +81,7 @@ def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
 @query("fused_to_chunks", f"{_WITH} SELECT id, score, text FROM f JOIN documents ON doc_id = id")
 def fused_to_chunks(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
-    return docs.join(F.broadcast(_rankings(spark, sf)), "id").select("id", "score", "text")  # some twenty rows
+    return docs.join(_rankings(spark, sf), "id").select("id", "score", "text")
 
 
 def _kept(source: str, keys: str, order: str, budget: int) -> str:
