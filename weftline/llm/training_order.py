@@ -168,6 +168,7 @@ def materialise_order(
         parts.append(materialize(dealt.mapInArrow(lambda b: _shards(b, folder, seq_tokens, shard_sequences), "shard long, path string, sequences long"), "order-manifest"))
         del slotted, dealt
         if waves > 1:
+            spark.range(1).count()  # the last query that Spark remembers is then another one
             gc.collect()
             spark._jvm.System.gc()  # lets Spark delete the shuffle of this wave
     written = parts[0]
