@@ -72,13 +72,14 @@ def place(lines: DataFrame) -> DataFrame:
     return lines.join(_large(_starts(lines)), F.col("row") == F.col("s_row")).select("row", "start", "lines")
 
 
-def repeated_runs(placed: DataFrame, min_words: int) -> DataFrame:
-    """The runs that have an earlier copy, as stated above.
+def repeated_runs(placed: DataFrame, min_words: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The runs that have an earlier copy, as stated above, and the tables that they are read from.
 
     start, i (number of the first line among those with a word), n (lines), copies, first (position of the first copy).
     """
     flat = placed.select("start", F.posexplode("lines").alias("i", "l")).select("start", "i", "l.a", "l.b", "l.words")
     first = materialize(_ranked(flat), "lines-suffixes")  # start, i, words, rank
+    made = [first]
 
     # stretches of neighbouring repeated lines of a document, then the runs that start in them
     near = Window.partitionBy("start").orderBy("i")
@@ -102,6 +103,7 @@ def repeated_runs(placed: DataFrame, min_words: int) -> DataFrame:
         later = suffixes.select((F.col("pos") - (1 << k)).alias("l_pos"), F.col("rank").alias("b"))
         pairs = suffixes.join(_large(later), F.col("pos") == F.col("l_pos")).select("pos", F.col("rank").alias("a"), "b")
         suffixes = materialize(_ranked(pairs), "lines-suffixes")
+        made.append(suffixes)
         ranks = ranks.unionByName(suffixes.withColumn("k", F.lit(k + 1)))
     head = ranks.select(F.col("k").alias("h_k"), F.col("pos").alias("h_pos"), F.col("rank").alias("head"))
     tail = ranks.select(F.col("k").alias("t_k"), F.col("pos").alias("t_pos"), F.col("rank").alias("tail"))
@@ -113,7 +115,10 @@ def repeated_runs(placed: DataFrame, min_words: int) -> DataFrame:
     # as a table of its own, so that the join below has shuffles that Spark can split at a hot run
     groups = materialize(groups.withColumnsRenamed({"n": "g_n", "head": "g_head", "tail": "g_tail"}), "lines-intervals")
     same = (F.col("n") == F.col("g_n")) & (F.col("head") == F.col("g_head")) & (F.col("tail") == F.col("g_tail"))
-    return keyed.join(_large(groups), same).filter(pos > F.col("first")).select("start", "i", "n", "copies", "first")
+    drop_table(runs)
+    for table in made:
+        drop_table(table)
+    return keyed.join(_large(groups), same).filter(pos > F.col("first")).select("start", "i", "n", "copies", "first"), [keyed, groups]
 
 
 def line_dedup(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -123,12 +128,15 @@ def line_dedup(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", tex
     lines = materialize(_lines(base, id_col, text_col), "lines")
     placed = materialize(place(lines), "lines-placed")
     drop_table(lines)
-    runs = repeated_runs(placed, min_words).groupBy("start", "i").agg(F.max("n").alias("n"))
+    found, tables = repeated_runs(placed, min_words)
+    runs = found.groupBy("start", "i").agg(F.max("n").alias("n"))
     places = runs.select("start", F.explode(F.sequence("i", F.col("i") + F.col("n") - 1)).alias("i")).groupBy("start").agg(F.collect_set("i").alias("places"))
     numbers = places.join(placed, "start").select(
         F.col("row").alias("r_row"), F.sort_array(let(F.col("lines"), lambda x: F.transform("places", lambda i: F.get(x, i)["line"]))).alias("removed")
     )
     removed = materialize(numbers, "lines-removed")
+    for table in (*tables, placed):
+        drop_table(table)
     text = F.col(f"doc.{text_col}")
     rest = lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), "removed"), lambda i: F.get(x, i)), "\n")
     shorter = F.when(F.col("removed").isNull(), text).otherwise(let(F.split(text, "\n", -1), rest))

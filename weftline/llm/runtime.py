@@ -41,15 +41,15 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: int = 1 << 22):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Cut lineage: write df as Parquet in the shared folder and read it back.
+def materialize(df: DataFrame, name: str, level: int = 3) -> DataFrame:
+    """Cut lineage: write df as Parquet in the shared folder, at a level of zstd, and read it back.
 
     Survives lost executors: the files lie in the shared folder, not on an executor.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
     with small_batches(spark):
-        df.write.option("compression", compression).parquet(path)
+        df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._weftline_path = path
     return out

@@ -148,7 +148,7 @@ def materialise_order(
     made = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         lambda b: _sequences(b, path, seq_tokens), "doc_id long, seq long, ids binary, task long, k long"
     )
-    made = materialize(made, "order-tokens")
+    made = materialize(made, "order-tokens", level=6)
     per_task = made.groupBy("task").agg(F.count("*").alias("n"))  # a row for each task
     before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     offsets = materialize(per_task.select(F.col("task").alias("o_task"), "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead")), "order-counts")
