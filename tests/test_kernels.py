@@ -17,6 +17,10 @@ from weftline.operators import chunking, code, compact, graph, memory, retrieval
 from weftline.plans import catalog
 
 
+def test_block_of_a_backend():
+    assert [Config().block_of(x) for x in ("ollama", "vLLM", "other", None)] == [32, 16, 16, 16]
+
+
 def test_config_rejects():
     for bad in ({"tail_tokens": 9999}, {"alpha": 0.9}, {"block": 17}):
         with pytest.raises(ConfigError):

@@ -53,6 +53,10 @@ class Config:
     persist_every: int = 5
     tuples_persisted: int = 200
 
+    def block_of(self, backend: str | None) -> int:
+        """Tokens in a block of a backend's prefix cache."""
+        return self.block_by_backend.get((backend or "").lower(), self.block)
+
     def __post_init__(self) -> None:
         if self.total_tokens < 1 or self.tail_tokens > self.total_tokens:
             raise ConfigError("the tail must fit into a positive total")

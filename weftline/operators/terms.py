@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import text as tx
+from weftline.operators import retrieval
 
 
 def counted(words: Column) -> Column:
@@ -41,9 +42,11 @@ def tf_l2(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def vocabulary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """term, n_docs and first_doc. Duplicates within a document go before the shuffle."""
-    seen = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.array_distinct(tx.words(F.lower(text_col)))).alias("term"))
-    return seen.groupBy("term").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
+    """term, n_docs, first_doc and index, the terms numbered from 0 as they are first seen. Duplicates within a document go before the shuffle."""
+    seen = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.array_distinct(tx.words(F.lower(text_col)))).alias("pos", "term"))
+    found = seen.groupBy("term").agg(F.count("*").alias("n_docs"), F.min(F.struct("doc_id", "pos")).alias("first"))
+    numbered = retrieval.ranked_all(found.select("term", "n_docs", F.col("first.doc_id").alias("first_doc"), "first.pos"), F.col("first_doc"), F.col("pos"), F.col("term"))
+    return numbered.select("term", "n_docs", "first_doc", (F.col("rank") - 1).cast("long").alias("index"))
 
 
 def hashed_vector(dims: int = 256):

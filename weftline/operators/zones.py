@@ -47,6 +47,13 @@ def zone_violations(summary: DataFrame, total: int = DEFAULT.total_tokens, tail:
     return summary.select("session", rule.alias("rule")).filter(F.col("rule").isNotNull())
 
 
+def zone_offsets(zoned: DataFrame) -> DataFrame:
+    """Adds start_token and end_token: where each turn lies in the assembled sequence P, T, R of its session."""
+    part = F.when(F.col("zone") == "P", 0).when(F.col("zone") == "T", 1).otherwise(2)
+    so_far = F.sum("token_count").over(Window.partitionBy("session").orderBy(part, "turn_index").rowsBetween(Window.unboundedPreceding, 0))
+    return zoned.withColumn("end_token", so_far).withColumn("start_token", F.col("end_token") - F.col("token_count"))
+
+
 def session_stats(turns: DataFrame) -> DataFrame:
     return turns.groupBy("session").agg(F.max("turn_index").alias("last_turn"), F.count("*").alias("n_turns"), F.sum("token_count").cast("long").alias("tokens"))
 

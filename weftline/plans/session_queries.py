@@ -37,6 +37,11 @@ def zone_assign(spark: SparkSession, sf: str) -> DataFrame:
     return zoned(spark, sf).select("session", "turn_index", "zone")
 
 
+@query("zone_offsets", f"WITH {_ZONED} SELECT session, turn_index, zone, CAST(e - token_count AS BIGINT) AS start_token, CAST(e AS BIGINT) AS end_token FROM (SELECT *, sum(token_count) OVER (PARTITION BY session ORDER BY CASE zone WHEN 'P' THEN 0 WHEN 'T' THEN 1 ELSE 2 END, turn_index ROWS UNBOUNDED PRECEDING) AS e FROM z)")
+def zone_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    return zones.zone_offsets(zoned(spark, sf)).select("session", "turn_index", "zone", "start_token", "end_token")
+
+
 @query("zone_summary", f"WITH {_ZONED}, {_SUMMARY} SELECT *, t_tokens > t_budget AS compaction_required FROM s")
 def zone_summary(spark: SparkSession, sf: str) -> DataFrame:
     return zones.zone_summary(zoned(spark, sf), 640, 256)

@@ -106,8 +106,9 @@ def tf_l2(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "vocab",
-    f"""SELECT term, CAST(count(DISTINCT doc_id) AS BIGINT) AS n_docs, min(doc_id) AS first_doc FROM (
-      SELECT doc_id, unnest({WORDS.replace('text', 'lower(text)')}) AS term FROM documents) GROUP BY term""",
+    f"""SELECT term, n_docs, first_doc, row_number() OVER (ORDER BY first_doc, pos) - 1 AS index FROM (
+      SELECT term, CAST(count(DISTINCT doc_id) AS BIGINT) AS n_docs, min(doc_id) AS first_doc, arg_min(pos, doc_id * 1000000 + pos) AS pos FROM (
+      SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM (SELECT doc_id, {WORDS.replace('text', 'lower(text)')} AS w FROM documents)) GROUP BY term)""",
 )
 def vocab(spark: SparkSession, sf: str) -> DataFrame:
     return terms.vocabulary(table(spark, sf, "documents"))
