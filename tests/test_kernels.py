@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from weftline.config import Config, ConfigError
 from weftline.functions import text as tx
 from weftline.functions import vectors as vx
-from weftline.operators import chunking, code, compact, graph, memory, retrieval, telemetry, toolout, zones
+from weftline.operators import chunking, code, compact, graph, memory, retrieval, telemetry, terms, toolout, zones
 from weftline.plans import catalog
 
 
@@ -227,6 +227,50 @@ def test_graph(spark):
     assert sorted(rows(graph.descendants(loop, "A"))) == [("A", 2), ("B", 1)]
 
 
+def test_ranks_of_long_lists(spark):
+    """Ranks by ranges are those of one sorted list, ties by the next column."""
+    rng = np.random.default_rng(2)
+    items = [(i, int(x)) for i, x in enumerate(rng.integers(0, 50, 3000))]
+    got = {r.id: r["rank"] for r in retrieval.ranked_all(spark.createDataFrame(items, "id long, depth int"), F.desc("depth"), F.col("id")).collect()}
+    assert got == {i: k + 1 for k, (i, _) in enumerate(sorted(items, key=lambda x: (-x[1], x[0])))}
+
+
+def test_sequence_graph_of_one_large_label(spark):
+    rows_ = [(i * 3, 7) for i in range(2000)] + [(i * 3 + 1, i % 4) for i in range(100)] + [(1_000_000, None), (1_000_001, None), (5, 9)]
+    by = {}
+    for i, label in rows_:
+        by.setdefault(label, []).append(i)
+    want = {(a, b) for ids in by.values() for a, b in zip(sorted(ids), sorted(ids)[1:], strict=False)}
+    assert {tuple(r) for r in retrieval.sequence_graph(spark.createDataFrame(rows_, "vec_id long, label int")).collect()} == want
+
+
+def test_searches_in_blocks(spark):
+    """More queries than a block holds, and hot words in every fact."""
+    facts = spark.createDataFrame([(f"f{i}", 0.5 + i / 100, f"common w{i} w{i + 1}") for i in range(40)], "fact_id string, weight double, content string")
+    asked = [(q, f"common w{q % 40}") for q in range(30)]
+    got = {(r.query_id, r["rank"]): (r.fact_id, r.overlap) for r in memory.relevant_facts(facts, spark.createDataFrame(asked, "query_id long, text string"), 3, block=7).collect()}
+    for q, text in asked:
+        scored = sorted((-round(len(set(text.split()) & {"common", f"w{i}", f"w{i + 1}"}) / 2 * (0.5 + i / 100), 6), f"f{i}") for i in range(40))
+        assert [got[q, k][0] for k in (1, 2, 3)] == [f for _, f in scored[:3]]
+    assert memory.relevant_facts(facts, spark.createDataFrame([], "query_id long, text string")).count() == 0
+
+
+def test_encoders(spark):
+    docs = spark.createDataFrame([(1, "river stone river"), (2, "cloud"), (3, ""), (4, None)], "doc_id long, text string")
+    held = {r.id: r.vector for r in terms.encode(docs).collect()}
+    assert math.isclose(sum(x * x for x in held[1]), 1) and sorted(held[1])[-2:] == [1 / 5**0.5, 2 / 5**0.5] and not any(held[3] + held[4])
+    lengths = terms.encode(docs, lambda c: F.array(F.coalesce(F.length(c), F.lit(0)).cast("double"), F.lit(1.0)))
+    near = retrieval.text_search(lengths, lengths.filter("id = 1"), 2).collect()
+    assert [(r.query_id, r["rank"], r.id) for r in near] == [(1, 1, 1), (1, 2, 2)]
+
+
+def test_counts_of_terms(spark):
+    docs = spark.createDataFrame([(1, "b a b B"), (2, " "), (3, None)], "doc_id long, text string")
+    assert sorted((r.term, r.n) for r in terms.tf_l2(docs).collect()) == [("a", 1), ("b", 3)]
+    assert rows(terms.entropy(docs)) == [(1, 1.5)]
+    assert sorted((r.term, r["index"]) for r in terms.vocabulary(docs).collect()) == [("a", 1), ("b", 0)]
+
+
 def test_rrf(spark):
     lists = [spark.createDataFrame(x, "id string, rank int") for x in ([("doc1", 1), ("doc2", 2)], [("doc2", 1), ("doc3", 2)])]
     best = retrieval.rrf(lists).orderBy(F.desc("score")).first()

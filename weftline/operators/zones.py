@@ -9,12 +9,15 @@ from weftline.config import DEFAULT
 from weftline.functions import text as tx
 
 
-def parse_messages(raw: DataFrame, base: Column | None = None) -> DataFrame:
-    """session, role (user by default), content, token_count and turn_index of turns (session, seq, role, content)."""
+def parse_messages(raw: DataFrame, base: Column | None = None, count=tx.token_estimate) -> DataFrame:
+    """session, role (user by default), content, token_count and turn_index of turns (session, seq, role, content).
+
+    count: a function of a text column to its number of tokens; a pandas UDF of a tokenizer will do.
+    """
     start = F.lit(0) if base is None else base
     return raw.select(
         "session", F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("content", F.lit("")).alias("content"),
-        tx.token_estimate(F.coalesce("content", F.lit(""))).alias("token_count"), (start + F.col("seq")).cast("int").alias("turn_index"),
+        count(F.coalesce("content", F.lit(""))).cast("int").alias("token_count"), (start + F.col("seq")).cast("int").alias("turn_index"),
     )
 
 

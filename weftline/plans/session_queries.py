@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import text as tx
-from weftline.operators import memory, telemetry, turn, zones
+from weftline.operators import code, memory, telemetry, turn, zones
 from weftline.plans.registry import query, table
 
 TOK = "greatest(1, length(text) // 4)"
@@ -82,6 +82,15 @@ def nl_nodes(spark: SparkSession, sf: str) -> DataFrame:
     return turns(spark, sf).select(node.alias("node_id"), "session", "turn_index", F.left("content", F.lit(500)).alias("content"))
 
 
+@query(
+    "sentence_nodes",
+    """SELECT session, concat(turn_index, ':nl_sentence:s', i - 1) AS node_id, turn_index, trim(s) AS content, CAST(greatest(1, len(list_filter(regexp_split_to_array(trim(s), '\\s+'), lambda x: x <> ''))) AS INTEGER) AS token_count FROM (
+    SELECT conv_id AS session, CAST(turn AS INTEGER) AS turn_index, unnest(x) AS s, generate_subscripts(x, 1) AS i FROM (SELECT *, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS x FROM conversations)) WHERE trim(s) <> ''""",
+)
+def sentence_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    return code.sentence_nodes(turns(spark, sf))
+
+
 @query("www_fallback", "SELECT conv_id AS session, CAST(turn AS INTEGER) AS turn_index, CASE role WHEN 'user' THEN 'user' WHEN 'tool' THEN 'tool' WHEN 'system' THEN 'system' ELSE 'agent' END AS who, 'nl_statement' AS mutation_type, left(text, 80) AS value FROM conversations")
 def www_fallback(spark: SparkSession, sf: str) -> DataFrame:
     return turns(spark, sf).select("session", "turn_index", tx.role_actor(F.col("role")).alias("who"), F.lit("nl_statement").alias("mutation_type"), F.left("content", F.lit(80)).alias("value"))
