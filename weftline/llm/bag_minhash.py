@@ -17,9 +17,13 @@ another head, drawn by a hash, which meets the nodes of other classes only; a cr
 copies falls into one class in a few such rounds. Where a bucket then still holds several classes,
 the nodes of different classes meet, in tiles of bounded size and with finer signatures of 1024 slots
 of 4 bits: first each node is compared with the BEST nodes of other classes by their signatures, then, among the classes that are left,
-all pairs whose signatures may reach 0.8 are compared exactly. So no pairs are emitted within a class, and no link that a
-bucket could show is lost. With 32 bands of 5 slots a pair at 0.8 shares no bucket with
-probability 3e-6.
+all pairs whose signatures may reach 0.8 are compared exactly. A class of many nodes in a bucket has
+blocks of its own, which don't meet each other, and the others share blocks, so the tiles are of the
+pairs that are needed. No pairs are emitted within a class.
+
+What is lost: with 32 bands of 5 slots a pair at 0.8 shares no bucket with probability 3e-6; a pair
+that no head has linked in any of its buckets, and whose classes nothing else joins, is missed if its
+finer signatures are 4.5 standard deviations below those of a similarity of 0.8, also with probability 3e-6.
 
 Hot buckets: the first node and the size come from an aggregation, links are joined to buckets
 by a join that Spark may split, and the comparisons with one node are dealt to as many tasks as
@@ -28,7 +32,8 @@ they need.
 Defined results: a null text counts as empty; a text without words is a class of its own; a text
 of one to four words is one shingle; repeated rows are in one class; class_id is the smallest
 id of the class, null only if all its ids are; keep marks one row of each class, that of the
-smallest id; an empty table gives an empty result; other columns are ignored.
+smallest id; a very long text is hashed in pieces of 1 MB and compared whole, 16 bytes a word in
+memory; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.runtime import drop_table, materialize
@@ -50,11 +55,11 @@ ROUNDS = 3
 #: Nodes of other classes that a node is compared with before all that may be near are.
 BEST = 8
 #: Slots of the finer signature, of 4 bits, so one in 16 is equal by chance; and the least number of equal ones of a
-#: pair that is compared exactly: 3.5 standard deviations below that of a similarity of 0.8.
+#: pair that is compared exactly: 4.5 standard deviations below that of a similarity of 0.8.
 FINE = 1024
-LEAST_FINE = int(FINE * (0.8125 - 3.5 * (0.8125 * 0.1875 / FINE) ** 0.5))
-#: Nodes in one tile, and comparisons with one node in one task.
-TILE, SHARE = 1024, 256
+LEAST_FINE = int(FINE * (0.8125 - 4.5 * (0.8125 * 0.1875 / FINE) ** 0.5))
+#: Nodes in a block, two of which make a tile, and comparisons with one node in one task.
+TILE, SHARE = 256, 256
 
 _POINT, _SLOT, _LEVEL = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0xABC98388FB8FAC03
 
@@ -272,12 +277,25 @@ def _open_pairs(members: DataFrame, fine: DataFrame, labels: DataFrame, best: in
     """Pairs worth comparing among nodes that share a bucket but no class."""
     classed = materialize(_classed(members, labels), "near-buckets")
     open_ = classed.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("size")).filter("lo <> hi and size > 2")
-    tiles = open_.select(F.col("bucket").alias("o_bucket"), F.ceil(F.col("size") / TILE).cast("int").alias("t"))
-    dealt = classed.join(tiles, F.col("bucket") == F.col("o_bucket")).select("bucket", "row", "n", "class", "t", F.pmod(F.xxhash64("row"), F.col("t")).cast("int").alias("own"))
+    there = classed.join(_large(open_.select(F.col("bucket").alias("o_bucket"))), F.col("bucket") == F.col("o_bucket"), "left_semi")
+    groups = there.groupBy("bucket", "class").agg(F.count("*").alias("m")).withColumn("own", F.when(F.col("m") >= TILE // 2, F.col("class")))
+    groups = materialize(groups, "near-groups")
+    # blocks of a bucket, numbered: those that small classes share, own null, and then those of each large class
+    in_bucket = Window.partitionBy("bucket")
+    before = in_bucket.orderBy(F.col("own").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    kinds = groups.groupBy("bucket", "own").agg(F.ceil(F.sum("m") / TILE).cast("int").alias("t"))
+    kinds = kinds.select(F.col("bucket").alias("k_bucket"), F.col("own").alias("k_own"), "t", F.coalesce(F.sum("t").over(before), F.lit(0)).cast("int").alias("first"), F.sum("t").over(in_bucket).cast("int").alias("total"))
+    plan = groups.join(_large(kinds), (F.col("bucket") == F.col("k_bucket")) & F.col("own").eqNullSafe(F.col("k_own"))).select(
+        F.col("bucket").alias("p_bucket"), F.col("class").alias("p_class"), F.col("own").isNotNull().alias("large"), "t", "first", "total"
+    )
+    plan = materialize(plan, "near-plan")
+    dealt = there.join(_large(plan), (F.col("bucket") == F.col("p_bucket")) & (F.col("class") == F.col("p_class")))
+    dealt = dealt.withColumn("block", F.col("first") + F.pmod(F.xxhash64("row"), F.col("t")).cast("int"))
     # tile (i, j), i <= j: block i on side 1 and block j on side 2; both sides are one, 0, where i = j
-    tile = F.explode(F.transform(F.sequence(F.lit(0), F.col("t") - 1), lambda o: F.struct(
-        F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j"),
-        F.when(o == F.col("own"), 0).when(F.col("own") < o, 1).otherwise(2).alias("side"),
+    meets = lambda o: ~(F.col("large") & (o >= F.col("first")) & (o < F.col("first") + F.col("t")))
+    tile = F.explode(F.transform(F.filter(F.sequence(F.lit(0), F.col("total") - 1), meets), lambda o: F.struct(
+        F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j"),
+        F.when(o == F.col("block"), 0).when(F.col("block") < o, 1).otherwise(2).alias("side"),
     )))
     spread = dealt.select("bucket", "row", "n", "class", tile.alias("x")).select("bucket", "x.i", "x.j", "x.side", "row", "class", "n")
     held = dealt.groupBy("row").agg(F.collect_list("bucket").alias("buckets"))  # at most BANDS each
