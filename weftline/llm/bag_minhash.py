@@ -164,9 +164,12 @@ def _large(side: DataFrame) -> DataFrame:
 
 def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of rows whose texts are near-duplicates, exactly. texts: row and text."""
+    pairs = materialize(pairs, "near-asked")
     sized = pairs.groupBy("a").agg(F.count("*").alias("n")).select(F.col("a").alias("n_a"), F.ceil(F.col("n") / SHARE).cast("int").alias("tasks"))
-    salted = pairs.join(sized, F.col("a") == F.col("n_a")).select("a", F.pmod(F.xxhash64("b"), F.col("tasks")).cast("int").alias("salt"), "b")
+    # both sides are tables, so that Spark may split the join at a node with many pairs
+    salted = pairs.join(_large(materialize(sized, "near-tasks")), F.col("a") == F.col("n_a")).select("a", F.pmod(F.xxhash64("b"), F.col("tasks")).cast("int").alias("salt"), "b")
     salted = materialize(salted, "near-pairs")
+    drop_table(pairs)
     members = salted.join(_large(texts), F.col("b") == F.col("row")).select("a", "salt", "b", "text")
     heads = salted.select("a", "salt").distinct().join(_large(texts), F.col("a") == F.col("row")).select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
     dealt = members.unionByName(heads).repartition(F.col("a"), F.col("salt")).sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
