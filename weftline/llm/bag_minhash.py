@@ -59,7 +59,7 @@ BEST = 8
 FINE = 1024
 LEAST_FINE = int(FINE * (0.8125 - 4.5 * (0.8125 * 0.1875 / FINE) ** 0.5))
 #: Nodes in a block, two of which make a tile, and comparisons with one node in one task.
-TILE, SHARE = 256, 256
+TILE, SHARE = 256, 64
 
 _POINT, _SLOT, _LEVEL = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0xABC98388FB8FAC03
 
