@@ -279,10 +279,9 @@ def _head_pairs(members: DataFrame, labels: DataFrame | None, k: int) -> tuple[D
 def _open_pairs(members: DataFrame, fine: DataFrame, labels: DataFrame, best: int) -> DataFrame:
     """Pairs worth comparing among nodes that share a bucket but no class."""
     classed = materialize(_classed(members, labels), "near-buckets")
-    open_ = classed.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("size")).filter("lo <> hi and size > 2")
-    there = classed.join(_large(open_.select(F.col("bucket").alias("o_bucket"))), F.col("bucket") == F.col("o_bucket"), "left_semi")
-    groups = there.groupBy("bucket", "class").agg(F.count("*").alias("m")).withColumn("own", F.when(F.col("m") >= TILE // 2, F.col("class")))
-    groups = materialize(groups, "near-groups")
+    groups = materialize(classed.groupBy("bucket", "class").agg(F.count("*").alias("m")), "near-groups")
+    open_ = groups.groupBy(F.col("bucket").alias("o_bucket")).agg(F.count("*").alias("classes"), F.sum("m").alias("size")).filter("classes > 1 and size > 2").select("o_bucket")
+    groups = groups.join(_large(open_), F.col("bucket") == F.col("o_bucket"), "left_semi").withColumn("own", F.when(F.col("m") >= TILE // 2, F.col("class")))
     # blocks of a bucket, numbered: those that small classes share, own null, and then those of each large class
     in_bucket = Window.partitionBy("bucket")
     before = in_bucket.orderBy(F.col("own").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
@@ -292,8 +291,9 @@ def _open_pairs(members: DataFrame, fine: DataFrame, labels: DataFrame, best: in
         F.col("bucket").alias("p_bucket"), F.col("class").alias("p_class"), F.col("own").isNotNull().alias("large"), "t", "first", "total"
     )
     plan = materialize(plan, "near-plan")
-    dealt = there.join(_large(plan), (F.col("bucket") == F.col("p_bucket")) & (F.col("class") == F.col("p_class")))
+    dealt = classed.join(_large(plan), (F.col("bucket") == F.col("p_bucket")) & (F.col("class") == F.col("p_class")))
     dealt = dealt.withColumn("block", F.col("first") + F.pmod(F.xxhash64("row"), F.col("t")).cast("int"))
+    dealt = materialize(dealt.select("bucket", "row", "n", "class", "block", "large", "first", "t", "total"), "near-dealt")
     # tile (i, j), i <= j: block i on side 1 and block j on side 2; both sides are one, 0, where i = j
     meets = lambda o: ~(F.col("large") & (o >= F.col("first")) & (o < F.col("first") + F.col("t")))
     tile = F.explode(F.transform(F.filter(F.sequence(F.lit(0), F.col("total") - 1), meets), lambda o: F.struct(
