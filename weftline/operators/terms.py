@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text as tx
 from weftline.operators import retrieval
+from weftline.sources.scratch import spread
 
 
 def counted(words: Column) -> Column:
@@ -19,7 +20,7 @@ def counted(words: Column) -> Column:
         return tx.let(ends(s), lambda e: F.transform(e, lambda at, k: F.struct(F.get(s, at).alias("term"), (at - F.coalesce(F.get(e, k - 1), F.lit(-1))).cast("long").alias("n"))))
 
     none = F.array().cast("array<struct<term:string,n:bigint>>")
-    return F.coalesce(tx.let(F.array_sort(words), lambda s: F.when(F.size(s) > 0, runs(s)).otherwise(none)), none)
+    return F.coalesce(tx.let(F.sort_array(words), lambda s: F.when(F.size(s) > 0, runs(s)).otherwise(none)), none)
 
 
 def entropy(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -30,15 +31,19 @@ def entropy(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         step = lambda a, x: F.struct((a["all"] + x["n"]).alias("all"), (a["s"] + x["n"] * F.log2(x["n"])).alias("s"))
         return F.when(F.size(t) > 0, F.aggregate(t, start, step, lambda a: F.round(F.log2(a["all"]) - a["s"] / a["all"], 6)))
 
-    out = docs.select(F.col(id_col).alias("doc_id"), tx.let(counted(tx.words(F.col(text_col))), bits).alias("entropy"))
+    docs = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    out = docs.select("doc_id", tx.let(counted(tx.words(F.col("text"))), bits).alias("entropy"))
     return out.filter(F.col("entropy").isNotNull())
 
 
 def tf_l2(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, term, n and weight: term counts with unit length, over one vocabulary for all documents."""
-    held = docs.select(F.col(id_col).alias("doc_id"), counted(tx.words(F.lower(text_col))).alias("t"))
-    size = F.sqrt(F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a + x["n"] * x["n"]).cast("double"))
-    return held.select("doc_id", size.alias("size"), F.explode("t").alias("x")).select("doc_id", "x.term", "x.n", F.round(F.col("x.n") / F.col("size"), 6).alias("weight"))
+    size = lambda t: F.sqrt(F.aggregate(t, F.lit(0).cast("long"), lambda a, x: a + x["n"] * x["n"]).cast("double"))
+    told = lambda t, s: F.transform(t, lambda x: F.struct(x["term"].alias("term"), x["n"].alias("n"), F.round(x["n"] / s, 6).alias("weight")))
+    docs = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    rows = tx.let(counted(tx.words(F.lower("text"))), lambda t: tx.let(size(t), lambda s: told(t, s)))
+    # outer: Spark would evaluate the array once more, to filter empty ones
+    return docs.select("doc_id", F.explode_outer(rows).alias("x")).filter(F.col("x").isNotNull()).select("doc_id", "x.*")
 
 
 def vocabulary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

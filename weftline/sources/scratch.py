@@ -20,6 +20,12 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/weftline"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows for work that costs much more than its input: dealt to all cores where the input has fewer splits, as they are beyond."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df in the shared folder and read it back."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
