@@ -174,7 +174,7 @@ _BAG = "list_distinct(list_filter(regexp_split_to_array(lower({}), '\\s+'), lamb
 @query(
     "facts_relevant",
     f"""WITH {_FACTS}, a AS (SELECT item_id, unnest({_BAG.format('text')}) AS word FROM benchmark),
-    b AS (SELECT fact_id, weight, len({_BAG.format('content')}) AS n, unnest({_BAG.format('content')}) AS word FROM fa),
+    b AS (SELECT fact_id, weight, len(bag) AS n, unnest(bag) AS word FROM (SELECT fact_id, weight, {_BAG.format('content')} AS bag FROM fa)),
     c AS (SELECT item_id, fact_id, count(*) AS overlap, round(count(*) / sqrt(n + 1.0::DOUBLE) * weight, 6) AS score FROM a JOIN b ON a.word = b.word GROUP BY item_id, fact_id, n, weight)
     SELECT item_id AS query_id, CAST(i AS INTEGER) AS rank, fact_id, overlap, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, fact_id) AS i FROM c) WHERE i <= 5""",
 )
@@ -215,7 +215,7 @@ def facts_annotation(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "facts_inject",
     f"""WITH t AS ({_TURNS}), {_FACTS}, h AS (SELECT session AS item_id, arg_min(content, turn_index) AS text FROM t WHERE role = 'user' GROUP BY session),
-    a AS (SELECT item_id, unnest({_BAG.format('text')}) AS word FROM h), b AS (SELECT fact_id, weight, len({_BAG.format('content')}) AS n, unnest({_BAG.format('content')}) AS word FROM fa),
+    a AS (SELECT item_id, unnest({_BAG.format('text')}) AS word FROM h), b AS (SELECT fact_id, weight, len(bag) AS n, unnest(bag) AS word FROM (SELECT fact_id, weight, {_BAG.format('content')} AS bag FROM fa)),
     c AS (SELECT item_id, fact_id, round(count(*) / sqrt(n + 1.0::DOUBLE) * weight, 6) AS score FROM a JOIN b ON a.word = b.word GROUP BY item_id, fact_id, n, weight),
     r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, fact_id) AS i FROM c) WHERE i <= 5),
     n AS (SELECT item_id, {_NOTE} AS note FROM (SELECT item_id, fa.* FROM r JOIN fa ON r.fact_id = fa.fact_id) GROUP BY item_id)
