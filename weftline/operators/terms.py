@@ -48,7 +48,8 @@ def tf_l2(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def vocabulary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """term, n_docs, first_doc and index, the terms numbered from 0 as they are first seen. Duplicates within a document go before the shuffle."""
-    seen = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.array_distinct(tx.words(F.lower(text_col)))).alias("pos", "term"))
+    docs = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    seen = docs.select("doc_id", F.posexplode_outer(F.array_distinct(tx.words(F.lower("text")))).alias("pos", "term")).filter(F.col("term").isNotNull())
     found = seen.groupBy("term").agg(F.count("*").alias("n_docs"), F.min(F.struct("doc_id", "pos")).alias("first"))
     numbered = retrieval.ranked_all(found.select("term", "n_docs", F.col("first.doc_id").alias("first_doc"), "first.pos"), F.col("first_doc"), F.col("pos"), F.col("term"))
     return numbered.select("term", "n_docs", "first_doc", (F.col("rank") - 1).cast("long").alias("index"))
