@@ -1,7 +1,12 @@
 """Goldens and properties of the kernels that run without Spark, and of column functions on small rows."""
 
+import argparse
+import ast
+import inspect
 import math
 import re
+import tarfile
+import typing
 from collections import Counter
 
 import numpy as np
@@ -177,6 +182,34 @@ def test_python_events():
     assert code.python_events("def broken(: pass") == []
 
 
+def test_python_events_leave_nothing_out():
+    """Every import, definition, assignment and loaded name that ast.walk finds, whole code, and chains longer than recursion."""
+    odd = "from m import a, b as z, c, d, e\nimport p.q, r, s, t\ntry:\n    import u\nexcept E as x:\n    import v\nwith w(a) as y:\n    k = b\nmatch z:\n    case C(n) if c:\n        d[e] = f = 1\n@r\ndef g(h=s): pass\n"
+    for source in [odd] + [inspect.getsource(m) for m in (argparse, tarfile, typing)]:
+        defs, uses = Counter(), Counter()
+        for x in ast.walk(ast.parse(source)):
+            if isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+                defs[x.name] += 1
+            elif isinstance(x, (ast.Import, ast.ImportFrom)):
+                defs.update((a.asname or a.name).split(".")[0] for a in x.names)
+            elif isinstance(x, (ast.Assign, ast.AnnAssign, ast.AugAssign)):
+                for t in (y for t in getattr(x, "targets", None) or [x.target] for y in ast.walk(t)):
+                    if isinstance(t, (ast.Name, ast.Attribute)) and isinstance(t.ctx, ast.Store):
+                        defs[ast.unparse(t)] += 1
+            elif isinstance(x, ast.Name) and isinstance(x.ctx, ast.Load):
+                uses[x.id] += 1
+        events = code.python_events(source)
+        assert Counter(n for _, k, n, *_ in events if k == "def") == defs and Counter(n for _, k, n, *_ in events if k == "use") == uses
+        assert [i for i, *_ in events] == list(range(len(events)))
+    assert {n for _, k, n, t, *_ in code.python_events(odd) if t == "ast_import"} == set("azcdeprstuv")
+    long = "def f():\n    x = '" + "y" * 900 + "'"
+    assert code.python_events(long)[0][-1] == long
+    terms = "x = " + " + ".join(["a"] * 600)
+    assert [x[-1] for x in code.python_events(terms) if x[1] == "def"] == [terms] and len(code.python_events(terms)) == 601
+    chain = "if a: x = 0\n" + "".join(f"elif a: x = {i}\n" for i in range(1, 900))
+    assert Counter((k, n) for _, k, n, *_ in code.python_events(chain)) == {("use", "a"): 900, ("def", "x"): 900}
+
+
 def test_tool_compression():
     users = '{"users": [' + ",".join(f'{{"id": {i}, "name": "user {i}"}}' for i in range(200)) + '], "meta": 1}'
     short = toolout.compress_json(users, 512)
